@@ -1,0 +1,23 @@
+"""The queries of the training-data operators, and the SQL that checks them."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from strandline.sources.tables import table
+
+from . import corpus_encoding
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_encoding.encode_corpus(spark, table(spark, sf_dir, "documents"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p6_ids,)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
