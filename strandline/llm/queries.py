@@ -8,7 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.sources.tables import table
 
-from . import corpus_encoding
+from . import conversations, corpus_encoding, splitting
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.dropped_sessions(table(spark, sf_dir, "log_lines"))
+
+
+def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.conversations(table(spark, sf_dir, "log_lines"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.oversized(table(spark, sf_dir, "log_lines"))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.split_log_items(table(spark, sf_dir, "log_lines"))
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +32,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p6_ids,)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p4_found, p4_pieces, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
