@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from strandline.operators import schema_drift
+from strandline.sources.tables import table
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise NotImplementedError
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.drift_report(table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "field_catalog"))
+
+
+def p5_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.one_table(table(spark, sf_dir, "log_lines"), table(spark, sf_dir, "field_catalog"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for f in (p5_found, p5_table)}
 
 
 def oracle_sql() -> dict[str, str]:
