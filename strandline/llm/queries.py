@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.sources.tables import table
 
-from . import conversations, corpus_encoding, secrets, splitting
+from . import conversations, corpus_encoding, neighbours, secrets, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,14 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(table(spark, sf_dir, "log_lines"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, sf_dir, "embed_responses"))
+
+
+def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embed_responses"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.lines_with_secrets(table(spark, sf_dir, "log_lines"))
 
@@ -40,7 +48,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p3_found, p3_redacted, p4_found, p4_pieces, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_nearest, p3_found, p3_redacted, p4_found, p4_pieces, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:
