@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strandline.sources.tables import table
 
-from . import conversations, corpus_encoding, garbled, neighbours, secrets, splitting
+from . import conversations, corpus_encoding, garbled, mixing, neighbours, secrets, splitting
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +47,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_encoding.encode_corpus(spark, table(spark, sf_dir, "documents"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return garbled.garbled_documents(table(spark, sf_dir, "documents"))
 
@@ -56,7 +64,7 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_nearest, p3_found, p3_redacted, p4_found, p4_pieces, p6_ids, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_nearest, p3_found, p3_redacted, p4_found, p4_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_restored)}
 
 
 def oracle_sql() -> dict[str, str]:
