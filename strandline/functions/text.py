@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,8 +193,6 @@ def centred_preview(text: Column | str, query: str, width: int = PREVIEW_CHARS)
     """The window of ``width`` characters, begun a quarter of it before a hit, with most
     different terms; of equal ones the earliest term's first. An Arrow UDF: it runs on
     the few rows after the limit."""
-    import pandas as pd
-
     terms = query_terms(query)
 
     @F.pandas_udf("string")
