@@ -24,6 +24,17 @@ COLUMNS = ["line_id", "source_id", "agent", "line_no", "status", "native_id", "c
 TOUCHES = "array<struct<path:string,action:string>>"
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once for each row.
+
+    They come out of a generator, through which the optimiser moves neither filters nor
+    projections: else a filter on the last of many dependent columns would have the JSON
+    parsed anew for every mention of it.
+    """
+    made = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.drop(*columns).select("*", F.inline(F.array(made)))
+
+
 def _variant(c: Column, path: str) -> Column:
     return F.try_variant_get(c, path, "variant")
 
@@ -47,14 +58,14 @@ def _blocks(c: Column) -> Column:
 def _typed_parts(c: Column) -> Column:
     """A tool result's text: a string as it is, an array's texts, others named."""
     parts = F.transform(_blocks(c), lambda b: F.when(_text(b, "$.type") == "text", F.coalesce(_text(b, "$.text"), F.lit(""))).otherwise(F.concat(F.lit("["), F.coalesce(_text(b, "$.type"), F.lit("")), F.lit(" content omitted]"))))
-    k = _kind(c)
-    return F.when(k == "string", F.try_variant_get(c, "$", "string")).when(k == "array", F.array_join(parts, "")).when(c.isNull(), "").otherwise(F.to_json(c))
+    listed = F.try_variant_get(c, "$", "array<variant>").isNotNull()
+    return F.when(c.isNull(), "").when(listed, F.array_join(parts, "")).when(_kind(c) == "string", F.try_variant_get(c, "$", "string")).otherwise(F.to_json(c))
 
 
 def _all_parts(c: Column) -> Column:
-    k = _kind(c)
     parts = F.transform(_blocks(c), lambda b: F.coalesce(_text(b, "$.text"), F.lit("")))
-    return F.when(k == "string", F.try_variant_get(c, "$", "string")).when(k == "array", F.array_join(parts, "")).when(c.isNull(), "").otherwise(F.to_json(c))
+    listed = F.try_variant_get(c, "$", "array<variant>").isNotNull()
+    return F.when(c.isNull(), "").when(listed, F.array_join(parts, "")).when(_kind(c) == "string", F.try_variant_get(c, "$", "string")).otherwise(F.to_json(c))
 
 
 def _lookup(values: dict[str, str], c: Column) -> Column:
@@ -71,23 +82,24 @@ def patch_touches(tool: Column, patch: Column) -> Column:
 def claude_code(lines: DataFrame, all_blocks: bool = False) -> DataFrame:
     """Lines of the first agent. Only a message's first block counts; ``all_blocks`` gives
     a row to each."""
-    rows = lines.withColumn("v", F.try_parse_json("raw_line"))
     v = F.col("v")
-    rows = rows.withColumn("type", _text(v, "$.type")).withColumn("content_", _variant(v, "$.message.content"))
-    rows = rows.withColumn("shape", _kind(F.col("content_"))).withColumn("blocks", _blocks(F.col("content_")))
-    b = F.element_at("blocks", 1) if not all_blocks else F.col("b")
+    rows = computed(lines, v=F.try_parse_json("raw_line")).drop("raw_line")
+    rows = computed(rows, type=_text(v, "$.type"), content_=_variant(v, "$.message.content"))
+    # a type's name is only asked for where it is short: it walks the whole value
+    rows = computed(rows, listed=F.try_variant_get("content_", "$", "array<variant>"))
+    rows = computed(rows, shape=F.when(F.col("listed").isNotNull(), "array").otherwise(_kind(F.col("content_"))), blocks=F.coalesce("listed", F.array().cast("array<variant>"))).drop("listed")
+    b = F.col("b")
     if all_blocks:
         rows = rows.select("*", F.posexplode_outer("blocks").alias("block_no", "b"))
     else:
-        rows = rows.withColumn("b", F.try_element_at("blocks", F.lit(1)))
-        b = F.col("b")
-    rows = rows.withColumn("block", _text(b, "$.type"))
+        rows = computed(rows, b=F.try_element_at("blocks", F.lit(1)))
+    rows = computed(rows, block=_text(b, "$.type"))
     spoken = F.col("type").isin("user", "assistant")
     role = _text(v, "$.message.role")
     known = F.col("block").isin("text", "thinking", "tool_use", "tool_result")
-    missing = spoken & (_kind(_variant(v, "$.message")) != "object")
+    missing = spoken & F.col("content_").isNull() & (_kind(_variant(v, "$.message")) != "object")
     status = (
-        F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT"), "error")
+        F.when(v.isNull() | (F.col("type").isNull() & ~F.schema_of_variant(v).startswith("OBJECT")), "error")
         .when(missing | (spoken & ~F.col("shape").isin("string", "array")), "error")
         .when(spoken & ((F.col("shape") == "string") | known), "message")
         .when(F.col("type") == "system", "message")
@@ -97,7 +109,7 @@ def claude_code(lines: DataFrame, all_blocks: bool = False) -> DataFrame:
     error = F.when(status == "error", F.when(v.isNull(), "invalid JSON").when(missing, "line without a message").otherwise("message.content is neither a string nor an array"))
     kind = F.when(F.col("type") == "system", "event").when(F.col("shape") == "string", "text").otherwise(_lookup({"text": "text", "thinking": "thinking", "tool_use": "tool_call", "tool_result": "tool_result"}, F.col("block")))
     # each step is a column of its own, so that what later steps name is computed once
-    rows = rows.withColumn("role_", role).withColumn("kind_", kind).withColumn("status_", status).withColumn("error_", error)
+    rows = computed(rows, role_=role, kind_=kind, status_=status, error_=error)
     role, kind, status, error = (F.col(c) for c in ("role_", "kind_", "status_", "error_"))
     said = F.when(F.col("shape") == "string", F.try_variant_get("content_", "$", "string")).otherwise(F.coalesce(_text(b, "$.text"), F.lit("")))
     content = (
@@ -107,7 +119,7 @@ def claude_code(lines: DataFrame, all_blocks: bool = False) -> DataFrame:
         .when(kind == "tool_call", F.coalesce(F.to_json(_variant(b, "$.input")), F.lit("")))
         .otherwise(_typed_parts(_variant(b, "$.content")))
     )
-    rows = rows.withColumn("name_", _text(b, "$.name")).withColumn("path_", F.nullif(_text(b, "$.input.file_path"), F.lit(""))).withColumn("content_text", content)
+    rows = computed(rows, name_=_text(b, "$.name"), path_=F.nullif(_text(b, "$.input.file_path"), F.lit("")), content_text=content)
     content, path = F.col("content_text"), F.col("path_")
     action = _lookup(TOUCH_ACTIONS, F.col("name_"))
     touches = F.when((kind == "tool_call") & action.isNotNull() & path.isNotNull(), F.array(F.struct(path.alias("path"), action.alias("action")))).otherwise(F.array().cast(TOUCHES))
@@ -126,21 +138,21 @@ def claude_code(lines: DataFrame, all_blocks: bool = False) -> DataFrame:
 def codex(lines: DataFrame) -> DataFrame:
     """Lines of the second agent, whose session id and directory hold from the line that
     names them to the end of the file."""
-    rows = lines.withColumn("v", F.try_parse_json("raw_line"))
     v = F.col("v")
-    rows = rows.withColumn("type", _text(v, "$.type")).withColumn("p", _text(v, "$.payload.type")).withColumn("content_", _variant(v, "$.payload.content"))
     meta = F.col("type") == "session_meta"
-    rows = rows.withColumn("native_id", F.when(meta, _text(v, "$.payload.session_id"))).withColumn("cwd", F.when(meta, F.coalesce(_text(v, "$.payload.cwd"), F.lit(""))).when(F.col("type") == "turn_context", F.nullif(_text(v, "$.payload.cwd"), F.lit(""))))
+    rows = computed(lines, v=F.try_parse_json("raw_line")).drop("raw_line")
+    rows = computed(rows, type=_text(v, "$.type"), p=_text(v, "$.payload.type"), content_=_variant(v, "$.payload.content"))
+    rows = computed(rows, native_id=F.when(meta, _text(v, "$.payload.session_id")), cwd=F.when(meta, F.coalesce(_text(v, "$.payload.cwd"), F.lit(""))).when(F.col("type") == "turn_context", F.nullif(_text(v, "$.payload.cwd"), F.lit(""))))
     rows = carry_forward(rows, ["source_id"], "line_no", ["native_id", "cwd"], ("line_id",))
-    rows = rows.withColumn("kinds_", F.try_variant_get(v, "$.payload.internal_chat_message_metadata_passthrough.content_item_kinds[0]", "string")).withColumn("parts_", _blocks(F.col("content_"))).withColumn("failed_", F.nullif(_text(v, "$.payload.error.message"), F.lit(""))).withColumn("input_", _text(v, "$.payload.input")).withColumn("name_", _text(v, "$.payload.name"))
+    rows = computed(rows, kinds_=F.try_variant_get(v, "$.payload.internal_chat_message_metadata_passthrough.content_item_kinds[0]", "string"), listed_=F.try_variant_get("content_", "$", "array<variant>"), parts_=_blocks(F.col("content_")), failed_=F.nullif(_text(v, "$.payload.error.message"), F.lit("")), input_=_text(v, "$.payload.input"), name_=_text(v, "$.payload.name"))
     item, kinds = F.col("type") == "response_item", F.col("kinds_")
     first = _text(F.try_element_at("parts_", F.lit(1)), "$.text")
     summary = _variant(v, "$.payload.summary")
     failed = F.col("failed_")
     said = item & (F.col("p") == "message")
-    bad = said & (_kind(F.col("content_")) != "array")
+    bad = said & F.col("listed_").isNull()
     status = (
-        F.when(v.isNull() | ~F.schema_of_variant(v).startswith("OBJECT") | bad, "error")
+        F.when(v.isNull() | (F.col("type").isNull() & ~F.schema_of_variant(v).startswith("OBJECT")) | bad, "error")
         .when(said & (F.size("parts_") > 0), "message")
         .when(item & F.col("p").isin("custom_tool_call", "custom_tool_call_output"), "message")
         .when(item & (F.col("p") == "reasoning") & (F.size(_blocks(summary)) > 0), "message")
@@ -152,7 +164,7 @@ def codex(lines: DataFrame) -> DataFrame:
     who = F.when(raw_role == "assistant", "assistant").when(kinds.isNull(), F.when(raw_role == "developer", "system").otherwise("user")).when(kinds == "user.text", "user").otherwise("system")
     role = F.when(said, who).when(F.col("p") == "custom_tool_call_output", "tool").when(F.col("type") == "event_msg", "system").otherwise("assistant")
     kind = F.when(said, F.when(who == "system", "event").otherwise("text")).when(F.col("p") == "custom_tool_call", "tool_call").when(F.col("p") == "custom_tool_call_output", "tool_result").when(F.col("type") == "event_msg", "event").otherwise("thinking")
-    rows = rows.withColumn("role_", role).withColumn("kind_", kind).withColumn("status_", status).withColumn("said_", said).withColumn("meta_", meta)
+    rows = computed(rows, role_=role, kind_=kind, status_=status, said_=said, meta_=meta)
     role, kind, status, said, meta = (F.col(c) for c in ("role_", "kind_", "status_", "said_", "meta_"))
     content = (
         F.when(said, F.when(role == "user", T.let(F.coalesce(first, F.lit("")), T.clean_escaped)).otherwise(F.coalesce(first, F.lit(""))))
