@@ -156,7 +156,7 @@ def normalise_remote(url: Column | str) -> Column:
 
 
 def split_actions(text: Column | str) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(col(text), F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def commit_range(first: Column | str, last: Column | str, source: Column | str) -> Column:

@@ -76,10 +76,9 @@ def longest_prefix(left: DataFrame, path: str, prefixes: DataFrame, prefix: str,
 
     A path is exploded to its ancestors, so the join is an equi-join of any size.
     """
-    steps = F.split(F.col(path), "/")
+    steps = F.split(F.col("_path"), "/")
     up = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
-    rows = left.withColumn("_row", F.monotonically_increasing_id())
-    parts = rows.where(F.col(path).isNotNull()).select("_row", F.explode(up).alias("_prefix"))
+    parts = left.select(F.col(path).alias("_path")).where("_path is not null").distinct().select("_path", F.explode(up).alias("_prefix"))
     known = prefixes.select(F.col(prefix).alias("_prefix"), F.col(take).alias("_take"))
-    best = parts.join(known, "_prefix").groupBy("_row").agg(F.max(F.struct(F.length("_prefix").alias("n"), "_take")).alias("_best"))
-    return rows.join(best, "_row", "left").select(*left.columns, F.col("_best._take").alias(take))
+    best = parts.join(known, "_prefix").groupBy("_path").agg(F.max(F.struct(F.length("_prefix").alias("n"), "_take")).alias("_best"))
+    return left.join(best, F.col(path) == F.col("_path"), "left").select(*left.columns, F.col("_best._take").alias(take))
