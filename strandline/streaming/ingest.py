@@ -87,4 +87,4 @@ def follow(spark: SparkSession, root: str, store: LogStore, checkpoint: str, onc
     os.makedirs(root, exist_ok=True)
     lines = spark.readStream.format("jsonl_tail").load(root)
     writer = lines.writeStream.foreachBatch(lambda df, i: handle_batch(store, df, i)).option("checkpointLocation", checkpoint)
-    return writer.trigger(processingTime=interval).start() if not once else writer.trigger(processingTime="0 seconds").start()
+    return writer.trigger(processingTime=interval).start() if not once else writer.trigger(availableNow=True).start()
