@@ -22,7 +22,7 @@ def _settled(rows: list) -> bool:
     return bool(tail) and tail[-1][1:3] == ["assistant", "text"]
 
 
-def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, quiet_ms: int | None) -> Iterator[pd.DataFrame]:
     """Rows come in the order of seq within a batch; a turn is closed by the next user text,
     or, when the session has been quiet for the timeout, by a settled tail."""
     session, out = key[0], []
@@ -43,13 +43,20 @@ def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Itera
             rows = []
         rows.append(r)
     state.update((json.dumps(rows),))
-    state.setTimeoutDuration(QUIET_MS)
+    if quiet_ms is not None:
+        state.setTimeoutDuration(quiet_ms)
     yield pd.DataFrame(out, columns=["session_id", "first_seq", "last_seq", "chunk_text"])
 
 
-QUIET_MS = 60_000
+def settled_turns(messages: DataFrame, quiet_ms: int | None = None) -> DataFrame:
+    """Chunks of a stream (session_id, seq, role, kind, content).
 
+    With ``quiet_ms`` a session's settled tail is also closed when it has been quiet for so
+    long; such a stream runs batches without data for ever, so it never drains.
+    """
 
-def settled_turns(messages: DataFrame) -> DataFrame:
-    """Chunks of a stream (session_id, seq, role, kind, content)."""
-    return messages.select("session_id", "seq", "role", "kind", "content").groupBy("session_id").applyInPandasWithState(step, OUT, "open string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    def step(key, frames, state):
+        return _step(key, frames, state, quiet_ms)
+
+    timeout = GroupStateTimeout.NoTimeout if quiet_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return messages.select("session_id", "seq", "role", "kind", "content").groupBy("session_id").applyInPandasWithState(step, OUT, "open string", "append", timeout)
