@@ -1,0 +1,94 @@
+"""Streams give what the batch gives."""
+
+import json
+import logging
+
+from strandline.operators import transcript
+from strandline.sources import jsonl
+from strandline.sources.embedding import HashEmbedder
+from strandline.streaming import drain, ingest, turns
+
+
+def line(i, role, text):
+    return json.dumps({"type": role, "sessionId": "s", "timestamp": f"2026-01-01T00:00:{i:02}Z", "message": {"role": role, "content": text}})
+
+
+def test_tail_source(spark, tmp_path):
+    jsonl.register(spark)
+    root = tmp_path / "logs"
+    root.mkdir()
+    f = root / "a.jsonl"
+
+    def run(name):
+        q = spark.readStream.format("jsonl_tail").load(str(root)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        try:
+            assert q.awaitTermination(40), name
+        finally:
+            q.stop()
+        return sorted((r.byte_offset, r.raw_line) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    f.write_text('{"a":1}\n{"b"')
+    assert run("first") == [(0, '{"a":1}')]
+    f.write_text('{"a":1}\n{"b":2}\n')
+    assert run("second") == [(0, '{"a":1}'), (8, '{"b":2}')]
+
+
+def test_batches(spark, tmp_path):
+    store = ingest.LogStore(spark, str(tmp_path / "store"))
+
+    def batch(n, lines, at=0):
+        rows = []
+        for x in lines:
+            rows.append(("/logs/a.jsonl", at, x))
+            at += len(x) + 1
+        ingest.handle_batch(store, spark.createDataFrame(rows, "log_path string, byte_offset long, raw_line string"), n)
+        return at
+
+    at = batch(0, [line(0, "user", "q1"), line(1, "assistant", "a1")])
+    for _ in range(2):  # a batch that is run again changes nothing
+        batch(1, [line(2, "user", "q2"), line(3, "assistant", "a2")], at)
+        assert [(r.seq, r.content) for r in store.messages().orderBy("seq").collect()] == [(0, "q1"), (1, "a1"), (2, "q2"), (3, "a2")]
+    assert [(r.first_seq, r.last_seq) for r in store.chunks().orderBy("first_seq").collect()] == [(0, 1), (2, 3)]
+    batch(2, [line(0, "user", "new"), line(1, "assistant", "b")])  # rewritten: its rows are replaced
+    assert [r.content for r in store.messages().orderBy("seq").collect()] == ["new", "b"]
+
+
+def test_settled_turns(spark, tmp_path):
+    rows = [("s", 0, "user", "text", "q1"), ("s", 1, "assistant", "text", "a1"), ("s", 2, "user", "text", "q2"), ("s", 3, "system", "event", "x"), ("s", 4, "assistant", "text", "a2"), ("s", 5, "user", "text", "q3"), ("t", 0, "user", "text", "only")]
+    schema = "session_id string, seq long, role string, kind string, content string"
+    src = tmp_path / "in"
+    for part in (rows[:3], rows[3:5], rows[5:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    q = turns.settled_turns(stream).writeStream.format("memory").queryName("turns").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(60)
+    finally:
+        q.stop()
+    got = {tuple(r) for r in spark.table("turns").collect()}
+    want = {tuple(r) for r in transcript.chunks(spark.createDataFrame(rows, schema), eager_tail=False).collect()}
+    assert got == want and len(want) == 2
+
+
+def test_drain(spark, caplog):
+    c = spark.createDataFrame([(i, "s", "text %d" % i) for i in range(7)] + [(99, "none", "x")], "chunk_id long, session_id string, chunk_text string")
+    s = spark.createDataFrame([("s", 1, "g"), ("none", None, "g")], "session_id string, project_id long, agent string")
+    vectors = [spark.createDataFrame([], "chunk_id long, project_id long, agent string, embedding array<float>, session_id string")]
+
+    def step():
+        rows = drain.embed_batch(c, s, vectors[0], lambda: HashEmbedder(8), 3).collect()
+        vectors[0] = vectors[0].union(spark.createDataFrame(rows, vectors[0].schema))
+        return len(rows)
+
+    assert drain.drain(step) == 7 and vectors[0].count() == 7
+    calls = iter([RuntimeError("down"), RuntimeError("down"), 2, 0])
+
+    def flaky():
+        x = next(calls)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    with caplog.at_level(logging.INFO):
+        drain.Loop(flaky, sleep=lambda _: None).run(3)
+    assert [m for m in caplog.messages if "embedding" in m] == ["embedding failed: down", "embedding works again"]
