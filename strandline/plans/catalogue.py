@@ -162,7 +162,7 @@ g AS (SELECT session_id, turn, min(seq) AS first_seq, max(seq) AS last_seq, stri
 
 
 @query(f"WITH {CHUNKS_SQL} SELECT session_id, first_seq, last_seq, md5(chunk_text) AS chunk_md5 FROM g WHERE chunk_text IS NOT NULL AND (turn < (SELECT max(turn) FROM g h WHERE h.session_id = g.session_id) OR tail = 'assistant text')")
-def p15_chunks(spark: SparkSession, d: str) -> DataFrame:
+def app15_chunks(spark: SparkSession, d: str) -> DataFrame:
     return transcript.chunks(msgs(spark, d)).select("session_id", "first_seq", "last_seq", F.md5("chunk_text").alias("chunk_md5"))
 
 
@@ -182,7 +182,7 @@ def a10_session_overview(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT session_id, agent, title FROM sessions WHERE project_id = 3 AND agent = 'claude-code' ORDER BY started_at DESC NULLS LAST, session_id LIMIT 20")
-def p5_recent_sessions(spark: SparkSession, d: str) -> DataFrame:
+def app5_recent_sessions(spark: SparkSession, d: str) -> DataFrame:
     return transcript.recent(table(spark, d, "sessions"), project_id=3, agent="claude-code").select("session_id", "agent", "title")
 
 
@@ -197,7 +197,7 @@ def _hot_file(t: DataFrame) -> str:
 
 
 @query(f"WITH {HOT_FILE_SQL} SELECT t.session_id, string_agg(DISTINCT t.action, ',' ORDER BY t.action) AS actions, count(*) AS touches FROM t JOIN hot USING (path) JOIN sessions s ON s.session_id = t.session_id GROUP BY t.session_id, s.started_at ORDER BY s.started_at DESC NULLS LAST, t.session_id LIMIT 20")
-def p6_sessions_touching(spark: SparkSession, d: str) -> DataFrame:
+def app6_sessions_touching(spark: SparkSession, d: str) -> DataFrame:
     t = touches(spark, d).where("session_id like 'claude-code:%'")
     return transcript.sessions_touching(t, sess(spark, d), _hot_file(t)).select("session_id", "actions", "touches")
 
@@ -207,7 +207,7 @@ a AS (SELECT g.*, (SELECT t.seq FROM t JOIN hot USING (path) WHERE t.session_id
 SELECT session_id, actions, touches, changes, last_touch_at, coalesce((SELECT min(c.chunk_id) FROM chunks c WHERE c.session_id = a.session_id AND a.anchor_seq BETWEEN c.first_seq AND c.last_seq),
  (SELECT c.chunk_id FROM chunks c WHERE c.session_id = a.session_id AND c.last_seq <= a.anchor_seq ORDER BY c.last_seq DESC, c.chunk_id DESC LIMIT 1), (SELECT c.chunk_id FROM chunks c WHERE c.session_id = a.session_id ORDER BY c.first_seq, c.chunk_id LIMIT 1)) AS chunk_id
 FROM a ORDER BY (changes > 0) DESC, coalesce(last_touch_at, started_at) DESC, session_id LIMIT 10""")
-def p7_explain_file(spark: SparkSession, d: str) -> DataFrame:
+def app7_explain_file(spark: SparkSession, d: str) -> DataFrame:
     t = touches(spark, d).where("session_id like 'claude-code:%'")
     return transcript.explain_file(t, sess(spark, d), table(spark, d, "chunks"), _hot_file(t)).select("session_id", "actions", "touches", "changes", "last_touch_at", "chunk_id")
 
@@ -222,13 +222,13 @@ def _long_session(m: DataFrame) -> str:
 
 @query(f"""WITH {LONGEST_SQL}, w AS (SELECT seq, role, kind, CASE WHEN length(said) > (CASE WHEN kind = 'text' THEN 6000 ELSE 1500 END) THEN left(said, CASE WHEN kind = 'text' THEN 6000 ELSE 1500 END) || ' … [truncated, ' || (CASE WHEN kind = 'text' THEN 6000 ELSE 1500 END) || ' of ' || length(said) || ' chars shown]' ELSE said END AS content FROM m JOIN big USING (session_id) WHERE kind = 'text' AND seq BETWEEN 0 AND 199),
 r AS (SELECT *, sum(length(content)) OVER (ORDER BY seq) AS used, row_number() OVER (ORDER BY seq) AS n FROM w) SELECT seq, role, kind, md5(content) AS content FROM r WHERE used <= 20000 OR n = 1""")
-def p4_get_session(spark: SparkSession, d: str) -> DataFrame:
+def app4_get_session(spark: SparkSession, d: str) -> DataFrame:
     m = msgs(spark, d)
     return transcript.page(m, _long_session(m)).select("seq", "role", "kind", F.md5("content").alias("content"))
 
 
 @query(f"WITH {LONGEST_SQL} SELECT min(seq) AS seq FROM m JOIN big USING (session_id) WHERE seq > 10 AND kind <> 'thinking'")
-def p16_first_seq_after(spark: SparkSession, d: str) -> DataFrame:
+def app16_first_seq_after(spark: SparkSession, d: str) -> DataFrame:
     m = msgs(spark, d)
     return transcript.first_seq_after(m, _long_session(m), 10, include_tools=True)
 
@@ -281,7 +281,7 @@ def j1_postings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_bm25_sql("chunks", "chunk_id", "chunk_text", {"f0": _term("planner"), "f1": _term("cache")}, "(f0 > 0 OR f1 > 0) AND chunk_id IN (SELECT chunk_id FROM chunks c JOIN sessions s ON s.session_id = c.session_id WHERE s.project_id = 3)", ["f0", "f1"], 10))
-def p1_keyword_search(spark: SparkSession, d: str) -> DataFrame:
+def app1_keyword_search(spark: SparkSession, d: str) -> DataFrame:
     hits = named.search_chunks(table(spark, d, "chunks").where("chunk_text is not null"), table(spark, d, "sessions"), "planner OR cache", project_id=3)
     return _rounded(hits.select("chunk_id", "bm25"), "bm25")
 
@@ -388,7 +388,7 @@ def l1_l2_hybrid_ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def p1_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+def app1_hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(spark, d)
     return named.search_hybrid(table(spark, d, "chunks").where("chunk_text is not null"), sess(spark, d), v, "planner OR cache", _first_vector(v))
 
@@ -444,12 +444,12 @@ def d9_longest_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 # -- store ---------------------------------------------------------------------------------------
 @query("SELECT c.chunk_id, s.project_id, s.agent FROM chunks c JOIN sessions s ON s.session_id = c.session_id WHERE c.embedded_at IS NULL AND s.project_id IS NOT NULL")
-def p14_pending(spark: SparkSession, d: str) -> DataFrame:
+def app14_pending(spark: SparkSession, d: str) -> DataFrame:
     return store.pending_chunks(table(spark, d, "chunks"), table(spark, d, "sessions")).select("chunk_id", "project_id", "agent")
 
 
 @query("SELECT p.project_id, p.project_name, coalesce(p.git_remote, '-') AS git_remote, (SELECT count(*) FROM sessions s WHERE s.project_id = p.project_id) AS sessions FROM projects p")
-def p9_project_list(spark: SparkSession, d: str) -> DataFrame:
+def app9_project_list(spark: SparkSession, d: str) -> DataFrame:
     return store.project_list(table(spark, d, "projects"), table(spark, d, "sessions")).drop("paths")
 
 
@@ -491,7 +491,7 @@ def _notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {NOTES_SQL}, h AS ({_bm25_sql('nt', 'chunk_id', 'chunk_text', {'f0': _term('beacon'), 'f1': _term('retry')}, 'f0 > 0 OR f1 > 0', ['f0', 'f1'])}) SELECT h.chunk_id AS note_id, h.bm25 FROM h JOIN notes n ON n.note_id = h.chunk_id WHERE superseded_by IS NULL AND (project_id = 3 OR project_id IS NULL) ORDER BY h.bm25, note_id LIMIT 10")
-def p2_search_notes(spark: SparkSession, d: str) -> DataFrame:
+def app2_search_notes(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(store.search_notes(_notes(spark, d), "beacon OR retry", 3).select("note_id", "bm25"), "bm25")
 
 
