@@ -34,7 +34,7 @@ from .loglines import clean, decode, instant, slices
 SEEN, MESSAGE, CALL, RESULT = 0, 1, 2, 3
 #: Kinds of messages: with text of the user, of the assistant, without text.
 OTHER, PROMPT, REPLY = 0, 1, 2
-FACTS = "sid string, own long, fact int, sub string, instant long, line_no long, kind int, bad boolean"
+FACTS = "sid string, own long, fact int, sub string, instant long, line_no long, line_id long, kind int, bad boolean"
 
 
 def _kind(role: object, content: object) -> int:
@@ -49,7 +49,7 @@ def message_facts(lines: DataFrame) -> DataFrame:
     """Facts of claude-code lines. ``own`` is the line's id where it has no session id."""
     import pyarrow as pa
 
-    kinds = [("sid", pa.string()), ("own", pa.int64()), ("fact", pa.int32()), ("sub", pa.string()), ("instant", pa.int64()), ("line_no", pa.int64()), ("kind", pa.int32()), ("bad", pa.bool_())]
+    kinds = [("sid", pa.string()), ("own", pa.int64()), ("fact", pa.int32()), ("sub", pa.string()), ("instant", pa.int64()), ("line_no", pa.int64()), ("line_id", pa.int64()), ("kind", pa.int32()), ("bad", pa.bool_())]
     schema = pa.schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,19 +66,19 @@ def message_facts(lines: DataFrame) -> DataFrame:
                     own = None if sid else line_id
                     if sid and sid not in seen:
                         seen.add(sid)
-                        out.append((sid, None, SEEN, None, None, None, None, False))
+                        out.append((sid, None, SEEN, None, None, None, None, None, False))
                     m = o.get("message")
                     if not isinstance(m, dict):
                         continue
                     role, content, at = m.get("role"), m.get("content"), instant(o.get("timestamp"))
                     whose = hashlib.md5(json.dumps([role, content], sort_keys=True).encode()).hexdigest()[:24]
-                    out.append((sid, own, MESSAGE, whose, at, line_no, _kind(role, content), at is None or role not in ("user", "assistant")))
+                    out.append((sid, own, MESSAGE, whose, at, line_no, line_id, _kind(role, content), at is None or role not in ("user", "assistant")))
                     for c in content if isinstance(content, list) else ():
                         if isinstance(c, dict) and c.get("type") in ("tool_use", "tool_result"):
                             call = c["type"] == "tool_use"
                             tool = c.get("id" if call else "tool_use_id")
                             tool = clean(tool) if isinstance(tool, str) else None
-                            out.append((sid, own, CALL if call else RESULT, tool, at, line_no, None, tool is None))
+                            out.append((sid, own, CALL if call else RESULT, tool, at, line_no, line_id, None, tool is None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [[]] * len(kinds), kinds)], schema=schema)
 
     return lines.where(F.col("agent") == "claude-code").select("line_id", "line_no", "raw_line").mapInArrow(run, FACTS)
@@ -107,8 +107,10 @@ def _named(facts: DataFrame) -> DataFrame:
 def merged_facts(lines: DataFrame) -> DataFrame:
     """One row for each fact of a conversation, its copies merged; computed once."""
     facts = message_facts(lines)
-    facts = _named(cut(facts.groupBy("sid", "own", "fact", "sub", "instant").agg(F.min("line_no").alias("line_no"), F.max("kind").alias("kind"), F.max("bad").alias("bad"))))
-    return facts
+    # the copy that stands first; one without a line_no only if there is no other
+    first = F.min(F.struct(F.col("line_no").isNull().alias("none"), "line_no", "line_id"))
+    merged = facts.groupBy("sid", "own", "fact", "sub", "instant").agg(first.alias("at"), F.max("kind").alias("kind"), F.max("bad").alias("bad"))
+    return _named(cut(merged.select("sid", "own", "fact", "sub", "instant", "at.line_no", "at.line_id", "kind", "bad")))
 
 
 def order_breaks(facts: DataFrame) -> DataFrame:
@@ -180,18 +182,53 @@ def dropped_sessions(lines: DataFrame) -> DataFrame:
     return broken_conversations(merged_facts(lines)).where("conv like 's:%'").select(F.substring("conv", 3, 1 << 30).alias("native_id"))
 
 
+def _content_kind(content: object) -> str:
+    """text, tool_use, tool_result, thinking, or other where a message has none of these."""
+    if _kind("user", content) == PROMPT:
+        return "text"
+    types = {b.get("type") for b in content if isinstance(b, dict) and isinstance(b.get("type"), str)} if isinstance(content, list) else set()
+    return next((t for t in ("tool_use", "tool_result", "thinking") if t in types), "other")
+
+
+def _as_json(message: dict) -> str:
+    """The message as JSON; lone surrogates, which no column can hold, stay escapes."""
+    said = json.dumps(message, ensure_ascii=False)
+    return said if clean(said) == said else json.dumps(message)
+
+
+def _with_messages(numbered: DataFrame, lines: DataFrame) -> DataFrame:
+    """``numbered`` with the role, kind and JSON of each row's message, read from its line."""
+    import pyarrow as pa
+
+    found = numbered.join(lines.where(F.col("agent") == "claude-code").select("line_id", "raw_line"), "line_id")
+    names = ["conversation_id", "seq", "role", "instant", "line_no", "line_id", "message_hash"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in slices(whole, 2000):
+                said = [decode(raw)["message"] for raw in b.column(len(names)).to_pylist()]
+                more = [[m["role"] for m in said], [_content_kind(m.get("content")) for m in said], [_as_json(m) for m in said]]
+                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], *(pa.array(c, pa.string()) for c in more)], [*names, "speaker", "kind", "message"])
+
+    return found.select(*names, "raw_line").mapInArrow(run, "conversation_id string, seq long, role string, instant long, line_no long, line_id long, message_hash string, speaker string, kind string, message string")
+
+
 def conversations(lines: DataFrame) -> DataFrame:
-    """The sound conversations as ordered messages: conversation_id, seq (from 0), role,
-    kind, instant (microseconds), line_id of one copy, message (JSON).
+    """The sound conversations as ordered messages: conversation_id, seq (from 0), role
+    (the message's part: prompt, reply, or tool for one without text), instant
+    (microseconds), line_no and line_id of the first copy, message_hash, speaker
+    (message.role: user or assistant), kind (text, tool_use, tool_result, thinking,
+    other) and message (the JSON of that line's message).
 
     ``seq`` comes from segment offsets, so also here no conversation is held in one
-    task. The same rules as in ``dropped_sessions``.
+    task. The messages themselves are joined back at the end, by line_id. The same rules
+    as in ``dropped_sessions``.
     """
     import pyarrow as pa
 
     facts = merged_facts(lines)
     broken = broken_conversations(facts)
-    kept = facts.where(F.col("fact") == MESSAGE).join(broken, "conv", "left_anti").select("conv", "instant", "line_no", "sub", "kind")
+    kept = facts.where(F.col("fact") == MESSAGE).join(broken, "conv", "left_anti").select("conv", "instant", "line_no", "sub", "kind", "line_id")
     ordered = kept.repartitionByRange("conv", "instant", "line_no", "sub").sortWithinPartitions("conv", "instant", "line_no", "sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +242,14 @@ def conversations(lines: DataFrame) -> DataFrame:
             code = np.asarray(b.column(0).dictionary_encode().indices)
             starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
             place = np.arange(len(code)) - np.repeat(starts, np.diff(np.r_[starts, len(code)]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(code), part + k)), pa.array(place)], ["conv", "instant", "line_no", "sub", "kind", "segment", "place"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(code), part + k)), pa.array(place)], ["conv", "instant", "line_no", "sub", "kind", "line_id", "segment", "place"])
 
-    placed = cut(ordered.mapInArrow(run, "conv string, instant long, line_no long, sub string, kind int, segment long, place long"))
+    placed = cut(ordered.mapInArrow(run, "conv string, instant long, line_no long, sub string, kind int, line_id long, segment long, place long"))
     from pyspark.sql import Window
 
     sizes = placed.groupBy("conv", "segment").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("conv", "segment", (F.sum("n").over(Window.partitionBy("conv").orderBy("segment")) - F.col("n")).alias("before"))
     numbered = placed.join(before, ["conv", "segment"]).withColumn("seq", F.col("before") + F.col("place"))
     role = F.when(F.col("kind") == PROMPT, "prompt").when(F.col("kind") == REPLY, "reply").otherwise("tool")
-    return numbered.select(F.substring("conv", 3, 1 << 30).alias("conversation_id"), "seq", role.alias("role"), "instant", "line_no", F.col("sub").alias("message_hash"))
+    numbered = numbered.select(F.substring("conv", 3, 1 << 30).alias("conversation_id"), F.col("seq").cast("long").alias("seq"), role.alias("role"), "instant", "line_no", "line_id", F.col("sub").alias("message_hash"))
+    return _with_messages(numbered, lines)

@@ -16,7 +16,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.conversations(table(spark, sf_dir, "log_lines"))
+    """With the speaker as the role; the part is told by role and kind."""
+    c = conversations.conversations(table(spark, sf_dir, "log_lines"))
+    return c.select("conversation_id", "seq", c.speaker.alias("role"), "kind", "instant", "line_no", "line_id", "message_hash", "message")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -150,3 +150,25 @@ def test_components_match_union_find(spark):
     got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {v: find(v) for v in parent}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_messages_come_out_whole(spark):
+    t = "2026-01-01T00:00:0%dZ"
+    said = [
+        ("user", "hé\ud800" + '"\n'), ("assistant", [{"type": "thinking", "thinking": "hm"}]), ("assistant", [{"type": "tool_use", "id": "a", "name": "x", "input": {"n": 1.5}}]),
+        ("user", [{"type": "tool_result", "tool_use_id": "a", "content": "ok"}]), ("assistant", [{"type": "text", "text": "yes"}]),
+    ]
+    raws = ["", *(line("good", role, t % k, content) for k, (role, content) in enumerate(said)), line("good", *("user", "2026-01-01T01:00:00+01:00", said[0][1]))]
+    df, _ = frame(spark, raws)
+    got = C.conversations(df).orderBy("seq").collect()
+    assert [(r.seq, r.line_id, r.line_no, r.speaker, r.kind) for r in got] == [(0, 1, 1, "user", "text"), (1, 2, 2, "assistant", "thinking"), (2, 3, 3, "assistant", "tool_use"), (3, 4, 4, "user", "tool_result"), (4, 5, 5, "assistant", "text")]
+    assert [json.loads(r.message) for r in got] == [{"role": role, "content": content} for role, content in said]
+
+
+def test_query_gives_role_kind_line_and_message(spark, tiny):
+    from strandline.llm import queries
+
+    raw = {r.line_id: json.loads(r.raw_line)["message"] for r in table(spark, tiny, "log_lines").collect() if (decode(r.raw_line) or {}).get("message")}
+    rows = queries.p1_conversations(spark, tiny).collect()
+    assert rows and all(json.loads(r.message) == raw[r.line_id] and r.role == raw[r.line_id]["role"] for r in rows)
+    assert {"text", "tool_use", "tool_result"} <= {r.kind for r in rows}
