@@ -16,8 +16,16 @@
 5. Classes are expanded: copies of a vector are its nearest, then the members of the
    nearest classes.
 
-All of it is joins and aggregations of the JVM's side over (key, id, code) rows;
-only the coding is one NumPy product per Arrow batch. A hot bucket is a skewed join
+``nearest`` answers for similar vectors only: its index can't meet pairs that are far
+apart. ``nearest_any`` has no floor: it learns ``CELLS`` cells on the same sample and
+compares every vector with all members of the ``PROBED`` cells that are nearest to it,
+by matrix products, so the work is about an eighth of all pairs (it grows as the square
+of the vectors; up to 1,000 vectors it is all pairs) and each vector gets its k neighbours however far they are.
+What is lost are neighbours in cells that weren't asked; the measured recall is in the
+README and in the tests.
+
+The index of ``nearest`` is joins and aggregations of the JVM's side over (key, id, code) rows;
+there only the coding is one NumPy product per Arrow batch. A hot bucket is a skewed join
 key, which adaptive execution splits; nothing is dropped.
 """
 
@@ -39,6 +47,10 @@ TABLES = 6
 #: Part of a code's bits by which two codes may differ.
 RADIUS = 0.26
 K, LEAST_SIMILARITY = 5, 0.9
+#: Cells of ``nearest_any``, at most, and how many of them a vector asks.
+CELLS, PROBED = 128, 16
+#: Vectors of one cell in a group, and vectors that ask it, at most about.
+MEMBERS, ASKING = 16_384, 500_000
 
 
 def usable_vectors(responses: DataFrame, dims: int = 64) -> DataFrame:
@@ -134,6 +146,28 @@ def candidate_pairs(codes: DataFrame, s: int) -> DataFrame:
     return met.where((apart <= math.ceil(RADIUS * TABLES * s)) & ~earlier).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _classes(responses: DataFrame, k: int, dims: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The unit vectors, their classes (cls, rep, members), and the representatives (id, u)."""
+    units = cut(_unit(usable_vectors(responses, dims)))
+    # the first k + 1 members of every class are all that anyone can need of it
+    nth = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
+    firsts = units.select("cls", "id").withColumn("n", nth).where(F.col("n") <= k + 1)
+    classes = cut(firsts.groupBy("cls").agg(F.array_sort(F.collect_list("id")).alias("members")).select("cls", F.element_at("members", 1).alias("rep"), "members"))
+    reps = cut(units.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "u"))
+    return units, classes, reps
+
+
+def _expanded(units: DataFrame, classes: DataFrame, best: DataFrame, k: int) -> DataFrame:
+    """(chunk_id, neighbour, similarity) from the nearest representatives (a, b, similarity)."""
+    lists = best.join(classes.select(F.col("rep").alias("b"), F.col("members").alias("theirs")), "b")
+    lists = lists.groupBy("a").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "b", "theirs"))).alias("l"))
+    around = lists.select(F.col("a").alias("rep"), F.slice(F.flatten(F.transform("l", lambda c: F.transform(c["theirs"], lambda i: F.struct(i.alias("neighbour"), (-c["d"]).alias("similarity"))))), 1, k).alias("around"))
+    per = units.select("id", "cls").join(classes, "cls").join(around, "rep", "left")
+    copies = F.transform(F.filter("members", lambda i: i != F.col("id")), lambda i: F.struct(i.alias("neighbour"), F.lit(1.0).alias("similarity")))
+    of = F.slice(F.concat(copies, F.coalesce("around", F.array().cast("array<struct<neighbour:bigint,similarity:double>>"))), 1, k)
+    return per.select(F.col("id").alias("chunk_id"), F.explode(of).alias("n")).select("chunk_id", "n.neighbour", F.least("n.similarity", F.lit(1.0)).alias("similarity"))
+
+
 def nearest(responses: DataFrame, k: int = K, least: float = LEAST_SIMILARITY, dims: int = 64) -> DataFrame:
     """(chunk_id, neighbour, similarity): for each chunk with a usable vector its k most
     similar other chunks, of those with a cosine of at least ``least``.
@@ -143,14 +177,8 @@ def nearest(responses: DataFrame, k: int = K, least: float = LEAST_SIMILARITY, d
     ties go to the lower id; copies of a vector have similarity 1; an empty table
     gives an empty one; other columns are not read.
     """
-    units = cut(_unit(usable_vectors(responses, dims)))
-    size = units.count()
-    s = substring_bits(size)
-    # the first k + 1 members of every class are all that anyone can need of it
-    nth = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
-    firsts = units.select("cls", "id").withColumn("n", nth).where(F.col("n") <= k + 1)
-    classes = cut(firsts.groupBy("cls").agg(F.array_sort(F.collect_list("id")).alias("members")).select("cls", F.element_at("members", 1).alias("rep"), "members"))
-    reps = cut(units.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "u"))
+    units, classes, reps = _classes(responses, k, dims)
+    s = substring_bits(units.count())
     codes = cut(_codes(reps, s))
     pairs = candidate_pairs(codes, s)
     dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
@@ -158,14 +186,106 @@ def nearest(responses: DataFrame, k: int = K, least: float = LEAST_SIMILARITY, d
     near = cut(near)
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     best = both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("n") <= k)
-    # classes to members
-    lists = best.join(classes.select(F.col("rep").alias("b"), F.col("members").alias("theirs")), "b")
-    lists = lists.groupBy("a").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "b", "theirs"))).alias("l"))
-    around = lists.select(F.col("a").alias("rep"), F.slice(F.flatten(F.transform("l", lambda c: F.transform(c["theirs"], lambda i: F.struct(i.alias("neighbour"), (-c["d"]).alias("similarity"))))), 1, k).alias("around"))
-    per = units.select("id", "cls").join(classes, "cls").join(around, "rep", "left")
-    copies = F.transform(F.filter("members", lambda i: i != F.col("id")), lambda i: F.struct(i.alias("neighbour"), F.lit(1.0).alias("similarity")))
-    of = F.slice(F.concat(copies, F.coalesce("around", F.array().cast("array<struct<neighbour:bigint,similarity:double>>"))), 1, k)
-    return per.select(F.col("id").alias("chunk_id"), F.explode(of).alias("n")).select("chunk_id", "n.neighbour", F.least("n.similarity", F.lit(1.0)).alias("similarity"))
+    return _expanded(units, classes, best, k)
+
+
+def learn_cells(sample: np.ndarray, cells: int, rounds: int = 10) -> np.ndarray:
+    """Centres of direction by spherical k-means."""
+    centres = sample[np.random.default_rng(0).permutation(len(sample))[:cells]]
+    for _ in range(rounds):
+        sums = np.zeros_like(centres)
+        np.add.at(sums, np.argmax(sample @ centres.T, axis=1), sample)
+        length = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(length > 0, sums / np.maximum(length, 1e-30), centres)
+    return centres
+
+
+def _matrix(column: object, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _part(ids: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
+    return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
+
+
+def best_in_cells(reps: DataFrame, k: int, dims: int) -> DataFrame:
+    """(a, b, similarity): for each vector of (id, u) the k most similar others of the
+    cells that it asks."""
+    import pyarrow as pa
+
+    size = reps.count()
+    sample = _matrix(reps.select("id", "u").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("u").toArrow().column("u").combine_chunks(), dims) if size else np.zeros((1, dims))
+    centres = learn_cells(sample.astype(np.float32), max(1, min(CELLS, size // 64)))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.argmax(_matrix(b.column(0), dims) @ centres.T, axis=1).astype(np.int32))], ["cell"])
+
+    # a cell without members answers nothing; of k + 1 others each has one at least
+    sizes = {r.cell: r["count"] for r in reps.select("u").mapInArrow(own, "cell int").groupBy("cell").count().collect()}
+    centres = centres[sorted(sizes)]
+    parts = np.array([math.ceil(sizes[c] / MEMBERS) for c in sorted(sizes)], dtype=np.int64)
+    asking = max(1, math.ceil(size / ASKING))
+    probes = min(len(centres), max(k + 1, PROBED))
+
+    def rows(b: pa.RecordBatch, at: list[np.ndarray], cell: list[np.ndarray], part: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell).astype(np.int32)), pa.array(np.concatenate(part).astype(np.int32)), *(c.take(pa.array(np.concatenate(at))) for c in b.columns)], ["cell", "part", "id", "u"])
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                all_, cell = np.arange(b.num_rows), np.argmax(_matrix(b.column(1), dims) @ centres.T, axis=1)
+                part = _part(b.column(0).to_numpy(), parts[cell]) * asking
+                yield rows(b, [all_] * asking, [cell] * asking, [part + a for a in range(asking)])
+
+    def asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                near = np.argsort(-(_matrix(b.column(1), dims) @ centres.T), axis=1, kind="stable")[:, :probes]
+                mine, at, cell, part = _part(b.column(0).to_numpy(), asking), [], [], []
+                for p in range(int(parts.max())):
+                    i, j = np.nonzero(parts[near] > p)
+                    at.append(i)
+                    cell.append(near[i, j])
+                    part.append(p * asking + mine[i])
+                yield rows(b, at, cell, part)
+
+    def compare(asked: pa.Table, index: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if asked.num_rows and index.num_rows:
+            ids, there = asked.column("id").to_numpy(), index.column("id").to_numpy()
+            x, y = _matrix(asked.column("u").combine_chunks(), dims), _matrix(index.column("u").combine_chunks(), dims)
+            some = min(len(there), k + 4)
+            for i in range(0, len(ids), 1024):
+                s = x[i : i + 1024] @ y.T
+                s[ids[i : i + 1024, None] == there[None, :]] = -2
+                top = np.argpartition(-s, some - 1, axis=1)[:, :some]
+                exact = np.einsum("id,ijd->ij", x[i : i + 1024].astype(np.float64), y[top].astype(np.float64))
+                who = there[top]
+                exact[who == ids[i : i + 1024, None]] = -2
+                order = np.lexsort((who, -exact), axis=1)[:, :k]
+                keep = np.take_along_axis(exact, order, 1)
+                r, c = np.nonzero(keep > -1.5)
+                out[0].append(ids[i + r])
+                out[1].append(np.take_along_axis(who, order, 1)[r, c])
+                out[2].append(keep[r, c])
+        kinds = [np.int64, np.int64, np.float64]
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, t)) for o, t in zip(out, kinds)], ["a", "b", "similarity"])
+
+    schema = "cell int, part int, id long, u array<float>"
+    asked = reps.select("id", "u").mapInArrow(asks, schema).groupBy("cell", "part")
+    met = asked.cogroup(reps.select("id", "u").mapInArrow(members, schema).groupBy("cell", "part")).applyInArrow(compare, "a long, b long, similarity double")
+    return met.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("n") <= k)
+
+
+def nearest_any(responses: DataFrame, k: int = K, dims: int = 64) -> DataFrame:
+    """(chunk_id, neighbour, similarity): for each chunk with a usable vector its k most
+    similar other chunks, however similar; fewer only where there are no k others.
+
+    The same rules as in ``nearest``.
+    """
+    units, classes, reps = _classes(responses, k, dims)
+    return _expanded(units, classes, cut(best_in_cells(reps, k, dims)), k)
 
 
 def similar_pairs(responses: DataFrame, k: int = K, least: float = LEAST_SIMILARITY, dims: int = 64) -> DataFrame:

@@ -26,7 +26,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.nearest(table(spark, sf_dir, "embed_responses"))
+    return neighbours.nearest_any(table(spark, sf_dir, "embed_responses"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,3 +71,38 @@ def test_a_third_of_all_rows_are_copies(spark):
     for r in got:
         per.setdefault(r.chunk_id, set()).add(r.neighbour)
     assert {*per} == {*range(0, 3000, 3)} and all(len(v) == 5 and c not in v for c, v in per.items())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_query_gives_every_vector_its_nearest(spark, sf):
+    from strandline.llm import queries
+
+    ids, s = brute([tuple(r) for r in table(spark, f"/root/testdata/{sf}", "embed_responses").select("chunk_id", "embeddings").collect()])
+    at, per = {c: k for k, c in enumerate(ids)}, {}
+    for r in queries.p2_nearest(spark, f"/root/testdata/{sf}").collect():
+        assert abs(s[at[r.chunk_id], at[r.neighbour]] - r.similarity) < 1e-5
+        per.setdefault(r.chunk_id, []).append(r.similarity)
+    assert {*per} == {*ids} and all(len(v) == 5 for v in per.values())
+    # by similarity, so that ties don't matter
+    kth = np.sort(s, axis=1)[:, -5]
+    assert sum(x >= kth[at[c]] - 1e-6 for c, v in per.items() for x in v) >= 0.99 * 5 * len(ids)
+
+
+def test_nearest_without_a_floor(spark, monkeypatch):
+    rnd = np.random.default_rng(8)
+    vecs = rnd.normal(size=(300, 64))
+    vecs[200:220] = vecs[7]
+    rows = [(i, i, None, [v.tolist()], 0, "") for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ids, s = brute([(r[1], r[3]) for r in rows])
+    monkeypatch.setattr(N, "PROBED", N.CELLS)
+    want = {i: np.sort(s[i])[-5:] for i in ids}
+    for members, asking in ((16_384, 500_000), (20, 100)):
+        monkeypatch.setattr(N, "MEMBERS", members)
+        monkeypatch.setattr(N, "ASKING", asking)
+        got: dict = {}
+        for r in N.nearest_any(df).collect():
+            got.setdefault(r.chunk_id, {})[r.neighbour] = r.similarity
+        assert all(len(got[i]) == 5 and i not in got[i] and np.allclose(sorted(got[i].values()), want[i], atol=1e-5) for i in ids)
+    assert N.nearest_any(df.limit(0)).count() == 0 and N.nearest_any(df.where("chunk_id = 4")).count() == 0
+    assert N.nearest_any(df.where("chunk_id < 4")).count() == 12
