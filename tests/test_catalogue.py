@@ -1,0 +1,37 @@
+"""Catalogue queries on the smallest data against plain Python, where SQL can't check them."""
+
+import hashlib
+import math
+import re
+
+from strandline.functions import text as T
+from strandline.plans import catalogue
+from strandline.sources.tables import table
+
+
+def redacted(text):
+    for p in T.TOKEN_PATTERNS:
+        text = re.sub(p, "[REDACTED]", text, flags=re.ASCII)
+    text = re.sub(r"^([A-Z][A-Z0-9_]*)=(\S+)", r"\1=[REDACTED]", text, flags=re.ASCII | re.MULTILINE)
+
+    def dense(m):
+        r = m.group()
+        bits = -sum(r.count(c) / len(r) * math.log2(r.count(c) / len(r)) for c in {*r})
+        return "[REDACTED]" if re.search("[A-Za-z]", r) and re.search("[0-9]", r) and bits >= T.MIN_ENTROPY else r
+
+    return re.sub(T.DENSE_RUN, dense, text)
+
+
+def test_every_chunk_is_redacted(spark, tiny):
+    chunks = {r.chunk_id: r.chunk_text for r in table(spark, tiny, "chunks").collect()}
+    got = {r.chunk_id: r.clean for r in catalogue.queries()["i11_i12_redact"](spark, tiny).collect()}
+    assert any(re.search(T.DENSE_RUN, t) for t in chunks.values() if t)
+    assert got == {c: None if t is None else hashlib.md5(redacted(t).encode()).hexdigest() for c, t in chunks.items()}
+
+
+def test_dense_runs_in_chunks(spark, tmp_path):
+    texts = ["a q7Zr2Lk9Xw4Tb8Ns1Vd6Yp0Hc5Jg3 b", "TOKEN_A=q7Zr2Lk9Xw4Tb8Ns1Vd6Yp0Hc5Jg3\nsrc/app/handlers/requests_of_users", "plain", None, ""]
+    spark.createDataFrame([*enumerate(texts)], "chunk_id long, chunk_text string").write.parquet(str(tmp_path / "chunks.parquet"))
+    got = {r.chunk_id: r.clean for r in catalogue.queries()["i11_i12_redact"](spark, str(tmp_path)).collect()}
+    want = ["a [REDACTED] b", "TOKEN_A=[REDACTED]\nsrc/app/handlers/requests_of_users", "plain", None, ""]
+    assert got == {i: None if w is None else hashlib.md5(w.encode()).hexdigest() for i, w in enumerate(want)}
