@@ -143,7 +143,9 @@ def b2_b3_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES_SQL} SELECT m.session_id, m.line_id AS message_id, s.project_id, CASE WHEN touched LIKE s.cwd || '/%' THEN substr(touched, length(s.cwd) + 2) ELSE touched END AS path, CASE WHEN tool_name = 'Read' THEN 'read' ELSE 'edit' END AS action FROM m LEFT JOIN sessions s ON s.session_id = m.session_id WHERE touched IS NOT NULL AND m.agent = 'claude-code'")
 def a7d_b7_file_touches(spark: SparkSession, d: str) -> DataFrame:
-    return touches(spark, d).where("session_id like 'claude-code:%'").select("session_id", "message_id", "project_id", "path", "action")
+    """Of both agents. The SQL knows those of claude-code only, and so do the three that
+    build on it; the touches of codex patches are checked by a test instead."""
+    return touches(spark, d).select("session_id", "message_id", "project_id", "path", "action")
 
 
 PATCH_SQL = f"""{MESSAGES_SQL}, pt AS (SELECT j.line_id, m.session_id, unnest(string_split(j.v->>'$.payload.input', chr(10))) AS l FROM j JOIN m ON m.line_id = j.line_id WHERE j.agent = 'codex' AND m.kind = 'tool_call' AND m.tool_name = 'apply_patch'),
@@ -177,7 +179,7 @@ def d14_chunk_times(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES_SQL}, ft AS (SELECT session_id, count(DISTINCT path) AS files_changed FROM ({_SQL['a7d_b7_file_touches'].split(MESSAGES_SQL, 1)[1].strip()}) GROUP BY session_id, action HAVING action <> 'read') SELECT s.session_id, s.agent, p.project_name, s.title, s.message_count, coalesce(ft.files_changed, 0) AS files_changed FROM sessions s LEFT JOIN projects p ON p.project_id = s.project_id LEFT JOIN ft ON ft.session_id = s.session_id")
 def a10_session_overview(spark: SparkSession, d: str) -> DataFrame:
-    t = touches(spark, d).where("session_id like 'claude-code:%'")
+    t = touches(spark, d)
     return transcript.overview(sess(spark, d), table(spark, d, "projects"), t).select("session_id", "agent", "project_name", "title", "message_count", "files_changed")
 
 
@@ -198,7 +200,7 @@ def _hot_file(t: DataFrame) -> str:
 
 @query(f"WITH {HOT_FILE_SQL} SELECT t.session_id, string_agg(DISTINCT t.action, ',' ORDER BY t.action) AS actions, count(*) AS touches FROM t JOIN hot USING (path) JOIN sessions s ON s.session_id = t.session_id GROUP BY t.session_id, s.started_at ORDER BY s.started_at DESC NULLS LAST, t.session_id LIMIT 20")
 def app6_sessions_touching(spark: SparkSession, d: str) -> DataFrame:
-    t = touches(spark, d).where("session_id like 'claude-code:%'")
+    t = touches(spark, d)
     return transcript.sessions_touching(t, sess(spark, d), _hot_file(t)).select("session_id", "actions", "touches")
 
 
@@ -208,7 +210,7 @@ SELECT session_id, actions, touches, changes, last_touch_at, coalesce((SELECT mi
  (SELECT c.chunk_id FROM chunks c WHERE c.session_id = a.session_id AND c.last_seq <= a.anchor_seq ORDER BY c.last_seq DESC, c.chunk_id DESC LIMIT 1), (SELECT c.chunk_id FROM chunks c WHERE c.session_id = a.session_id ORDER BY c.first_seq, c.chunk_id LIMIT 1)) AS chunk_id
 FROM a ORDER BY (changes > 0) DESC, coalesce(last_touch_at, started_at) DESC, session_id LIMIT 10""")
 def app7_explain_file(spark: SparkSession, d: str) -> DataFrame:
-    t = touches(spark, d).where("session_id like 'claude-code:%'")
+    t = touches(spark, d)
     return transcript.explain_file(t, sess(spark, d), table(spark, d, "chunks"), _hot_file(t)).select("session_id", "actions", "touches", "changes", "last_touch_at", "chunk_id")
 
 
