@@ -103,8 +103,11 @@ _COMMANDS = {k: re.compile(v) for k, v in COMMANDS.items()}
 
 _TOKENS = {p: re.compile(re.escape(p) + r) for p, r in TOKEN_FORMATS}
 _ARMOR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
-_ARMOR_BODY = re.compile(r"((?:\\r|\\n|[\s+|>#*/\-\"',;\\A-Za-z0-9=:.()]){0,16000}?)-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_URL = re.compile(r"://([^\s/:@\"'`<>]{0,80}):([^\s/@\"'`<>]{1,200}|[^\s@\"'`<>]{1,200})@(?=[\w\[.-])")
+_ARMOR_BODY = re.compile(r"[\s+|>#*/\-\"',;\\A-Za-z0-9=:.()]*")
+_ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+#: What may be base64 (also for URLs) of a text; shorter than any name with its secret.
+_ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}")
+_URL = re.compile(r"://([^\s/:@\"'`<>]{0,80}):([^\s/@\"'`<>]++|[^\s@\"'`<>]++)@(?=[\w\[.-])")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
 _IDENT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-."
 _NAMED = frozenset(_IDENT)
@@ -244,6 +247,10 @@ class SecretScanner:
                         m = _COMMANDS[p].match(text, at)
                         if m and (at == 0 or not text[at - 1].isalnum()):
                             found.update(self._value(text, m.end(), 2, False))
+        for m in _ENCODED.finditer(text):
+            said = decoded_text(m.group())
+            if said and self.spans(said):
+                found.add(m.span())
         out: list[tuple[int, int]] = []
         for a, z in sorted(found):
             if out and a < out[-1][1]:
@@ -264,11 +271,13 @@ class SecretScanner:
     def _armor(self, text: str, at: int) -> Iterator[tuple[int, int]]:
         m = _ARMOR.match(text, at)
         if m:
-            body = _ARMOR_BODY.match(text, m.end())
-            a, z = (body.start(1), body.end(1)) if body else (m.end(), m.end())
-            if not body:  # cut off: the armored lines that follow
+            end = _ARMOR_END.search(text, m.end())
+            a = m.end()
+            if end and _ARMOR_BODY.fullmatch(text, a, end.start()):
+                z = end.start()
+            else:  # cut off: the armored lines that follow
                 more = re.compile(r"(?:\\n|[\sA-Za-z0-9+/=:,-])*").match(text, m.end())
-                z = min(more.end(), m.end() + 16000)
+                z = more.end()
             if len(re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", text[a:z])) >= 16:
                 yield a, z
 
@@ -319,7 +328,7 @@ class SecretScanner:
         if m.group("xml"):
             if before == "<":
                 z = text.find("<", at)
-                if 0 < z - at <= 400 and text[z : z + 2] == "</":
+                if z > at and text[z : z + 2] == "</":
                     if gives_access(text[at:z], strength, True):
                         yield at, z
             return
@@ -376,17 +385,17 @@ class SecretScanner:
             if not only_quoted:
                 yield from self._bare(text, at, strength)
             return
-        parts, whole, pos = [m.span(2)], m.group(2), m.end()
-        while len(parts) < 20:
+        parts, whole, pos = [m.span(2)], [m.group(2)], m.end()
+        while True:
             j = _JOIN.match(text, pos)
             glue = text[pos : j.end()] if j else ""
             n = _QUOTED.match(text, j.end()) if j and ("+" in glue or "\n" in glue or "\\" in glue) else None
             if not n or re.compile(r"\\?[\"'`]?[ \t]*:").match(text, n.end()):
                 break
             parts.append(n.span(2))
-            whole += n.group(2)
+            whole.append(n.group(2))
             pos = n.end()
-        if len(whole) <= 2000 and gives_access(whole, strength, True):
+        if gives_access("".join(whole), strength, True):
             yield from (p for p in parts if p[1] > p[0])
 
     def _bare(self, text: str, at: int, strength: int) -> Iterator[tuple[int, int]]:
@@ -408,10 +417,12 @@ class SecretScanner:
 
 def decoded_text(v: str) -> str | None:
     """What a base64 value says, if it is text."""
+    v = v.rstrip("=").replace("-", "+").replace("_", "/")
     try:
-        return base64.b64decode(v, validate=True).decode("ascii")
+        said = base64.b64decode(v + "=" * (-len(v) % 4), validate=True).decode("utf-8")
     except (binascii.Error, ValueError):
         return None
+    return said if all(c.isprintable() or c in "\t\r\n" for c in said) else None
 
 
 _SCANNER: list[SecretScanner] = []
