@@ -44,6 +44,9 @@ RARE = -7.5
 LIFT = 2.5
 #: Total score of a line's runs from which the whole line is read anew too.
 LINE_SCORE = 10.0
+#: Characters from which a line is read in stretches of that many too, each half over the
+#: next, and how far a stretch is widened to a blank.
+STRETCH, TO_BLANK = 4000, 400
 #: Margins (nats) by which a restored run must be more probable: if the bytes are valid
 #: UTF-8, which is seldom an accident, and else in all and per changed character.
 MARGIN_UTF8, MARGIN_OTHER, MARGIN_CHAR = 2.5, 14.0, 1.5
@@ -207,15 +210,17 @@ class Restorer:
                         best = (said, gain)
         if len(self.memo) > 50_000:
             self.memo.clear()
-        self.memo[key] = best
+        if len(run) <= 2 * STRETCH:
+            self.memo[key] = best
         return best
 
     def again(self, said: str) -> bool:
         """Whether a reading has rare characters because it is itself garbled."""
         return any((d := to_bytes(said, w)) is not None and from_bytes(d, "utf-8") is not None for w in WRONG[:8])
 
-    def _spans(self, text: str, a: int, z: int, score: float) -> list[tuple[int, int]]:
-        """The run, its non-ASCII core, its words and, if much speaks for it, its line."""
+    def _spans(self, text: str, a: int, z: int, score: float, floor: int = 0) -> list[tuple[int, int]]:
+        """The run, its non-ASCII core, its words and, if much speaks for it, its line
+        and, of a long one, the stretches around it; these begin at ``floor`` at least."""
         out = [(a, z)]
         i, j = a, z
         while i < j and text[i] < "\x80":
@@ -236,8 +241,15 @@ class Restorer:
         if score >= LINE_SCORE:
             i, j = text.rfind("\n", 0, a) + 1, text.find("\n", z)
             j = len(text) if j < 0 else j
-            if j - i <= 4000:
-                out.append((i, j))
+            out.append((max(i, floor) if j - i > STRETCH else i, j))
+            if j - i > STRETCH:
+                half, k = STRETCH // 2, (a - i) // (STRETCH // 2)
+                for b in (i + (k - 1) * half, i + k * half):
+                    e = b + STRETCH
+                    blank = text.rfind(" ", max(i, b - TO_BLANK), b) if b > i else i - 1
+                    b = max(i, blank + 1 if blank >= 0 else b)
+                    blank = text.find(" ", e, min(j, e + TO_BLANK)) if e < j else j
+                    out.append((max(b, floor), min(j, blank if blank >= 0 else e)))
         return list(dict.fromkeys(out))
 
     def once(self, text: str) -> tuple[str, int]:
@@ -245,6 +257,7 @@ class Restorer:
         out, at, n = [], 0, 0
         runs = self.improbable(text)
         of_line: dict[int, float] = {}
+        vain: set[tuple[int, int]] = set()  # long spans that have no better reading
         for a, _, score in runs:
             line = text.rfind("\n", 0, a)
             of_line[line] = of_line.get(line, 0.0) + score
@@ -254,10 +267,12 @@ class Restorer:
             if z <= a:
                 continue
             best = None
-            for i, j in self._spans(text, a, z, score):
-                if i < at or j <= i:
+            for i, j in self._spans(text, a, z, score, at):
+                if i < at or j <= i or (i, j) in vain:
                     continue
                 got = self.inverse(text[i - 1 : i] if i else "\n", text[i:j], text[j : j + 1] or "\n")
+                if not got and j - i > STRETCH // 2:
+                    vain.add((i, j))
                 if got and (best is None or got[1] > best[3] + 1.0):
                     best = (i, j, got[0], got[1])
             found = [best] if best else []

@@ -81,3 +81,16 @@ def test_segments_against_brute_force():
 
         cover(0, len(s))
         assert G.segments(s) == sorted(want)
+
+
+def test_lines_of_any_length(spark, corpus):
+    # a corpus in which one changed character in a word is too little for itself
+    texts = [*corpus, *["Le cœur et l’œuvre: vœux, nœud. ¿Qué? 5 m³ de agua, ¿y? Wczoraj dziś już dziś."] * 200]
+    restorer = G.Restorer(G.pair_model(spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)))
+    assert not restorer.inverse(" ", "dziœ", " ")
+    filler = "plain words about rows and tables stand here "
+    good = f" {filler}".join(["dziś", "już"] * 4)
+    bad = good.encode("cp1250").decode("cp1252")
+    for before, after in ((1, 1), (20, 20), (44, 45), (100, 0), (0, 100), (2000, 2000)):
+        got = restorer.restore(f"{filler * before}{bad} {filler * after}")
+        assert got[0] == f"{filler * before}{good} {filler * after}", (before, after, got[1:])
