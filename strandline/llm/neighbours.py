@@ -6,31 +6,35 @@
    their id) by iterative quantisation; every representative gets the binary code of
    its signs: ``TABLES`` substrings of ``s`` bits, s growing with the logarithm of the
    number of vectors, so that a bucket's expected size stays the same.
-3. Each substring is indexed. A probe is the substring itself or the substring with one
-   zero bit set (a pair that differs in one bit meets at the end with the one); by the
-   pigeonhole principle every pair within ``2 * TABLES - 1`` bits meets in a table. Most
-   pairs further apart meet too; the measured recall is in the README and in the tests.
-4. A pair counts in the first table in which it meets, which both codes tell, so no
-   pair is ever shuffled to be made unique. Pairs beyond the Hamming radius fall; the
-   rest is ranked again with the real vectors, and each vector keeps its k best.
-5. Classes are expanded: copies of a vector are its nearest, then the members of the
+3. Each substring is indexed by all keys within one bit of it. Two substrings within two
+   bits share a key, and by the pigeonhole principle two codes within ``GUARANTEED`` =
+   3 * TABLES - 1 bits have such a pair of substrings: every code within that radius is
+   retrieved. Codes further apart that meet all the same count up to ``FURTHER``.
+4. The rows of a key stand together, sorted, and are compared in NumPy; a pair counts
+   under one key only, which both codes tell, so no pair is shuffled to be made unique.
+   The pairs are ranked again with the real vectors; each vector keeps its k best.
+5. A key with more than ``HOT`` rows emits no pairs. Such keys that share vectors form
+   regions (connected components of the keys), and the vectors of a region are compared
+   exactly, by matrix products of blocks that emit k rows for each vector. So near-equal
+   vectors in any number lose nothing, and cost products instead of rows.
+6. Classes are expanded: copies of a vector are its nearest, then the members of the
    nearest classes.
 
 ``nearest`` answers for similar vectors only: its index can't meet pairs that are far
 apart. ``nearest_any`` has no floor: it learns ``CELLS`` cells on the same sample and
 compares every vector with all members of the ``PROBED`` cells that are nearest to it,
 by matrix products, so the work is about an eighth of all pairs (it grows as the square
-of the vectors; up to 1,000 vectors it is all pairs) and each vector gets its k neighbours however far they are.
-What is lost are neighbours in cells that weren't asked; the measured recall is in the
-README and in the tests.
+of the vectors; up to 1,000 vectors it is all pairs) and each vector gets its k neighbours
+however far they are. What is lost are neighbours in cells that weren't asked; the
+measured recall is in the README and in the tests.
 
-The index of ``nearest`` is joins and aggregations of the JVM's side over (key, id, code) rows;
-there only the coding is one NumPy product per Arrow batch. A hot bucket is a skewed join
-key, which adaptive execution splits; nothing is dropped.
+Nothing that grows with the vectors is broadcast: their joins ask for a merge, because
+the size of what comes out of Python is not known to the planner.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -40,12 +44,21 @@ from pyspark.sql import functions as F
 
 from strandline.session import cut
 
+from .components import connected_components
+
 #: Vectors on which the rotations are learnt, at most.
 SAMPLE = 20_000
-#: Substrings of a code; each has at most 32 bits.
-TABLES = 6
-#: Part of a code's bits by which two codes may differ.
-RADIUS = 0.26
+#: Substrings of a code; bits by which codes may differ and are surely retrieved; part of a
+#: code's bits by which those that meet may differ.
+TABLES = 4
+GUARANTEED = 3 * TABLES - 1
+FURTHER = 0.2
+#: Rows of a key that are compared as pairs of codes; keys with more are a region's.
+HOT = 2048
+#: Index rows that are compared in one go, about.
+AT_ONCE = 1 << 17
+#: Vectors of a region that one task compares with as many.
+BLOCK = 16_384
 K, LEAST_SIMILARITY = 5, 0.9
 #: Cells of ``nearest_any``, at most, and how many of them a vector asks.
 CELLS, PROBED = 128, 16
@@ -65,8 +78,6 @@ def _unit(vectors: DataFrame) -> DataFrame:
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in batches:
             if not b.num_rows:
                 continue
@@ -96,18 +107,21 @@ def learn_rotations(sample: np.ndarray, bits: int, rounds: int = 30) -> tuple[np
 
 
 def substring_bits(n: int) -> int:
-    return min(32, max(10, math.ceil(math.log2(max(n, 2))) + 1))
+    """Bits of a substring: of n vectors about 64 share a key, however many they are."""
+    return min(31, max(16, math.ceil(math.log2(max(n, 2))) - 2))
+
+
+def _sample(units: DataFrame) -> np.ndarray:
+    """The sampled vectors, as rows."""
+    u = units.select("id", "u").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("u").toArrow().column("u").combine_chunks()
+    return u.flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1).astype(np.float64) if len(u) else np.zeros((1, 64))
 
 
 def _codes(units: DataFrame, s: int) -> DataFrame:
-    """(id, w0, w1, w2): codes, two substrings in a word."""
+    """(id, w0, w1): codes, two substrings in a word."""
     import pyarrow as pa
 
-    rows = units.select("id", "u").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-    sample = np.array([r.u for r in rows], dtype=np.float64)
-    if not len(sample):
-        sample = np.zeros((1, 64))
-    mean, matrix = learn_rotations(sample, TABLES * s)
+    mean, matrix = learn_rotations(_sample(units), TABLES * s)
     weights = (1 << np.arange(s, dtype=np.int64)).reshape(1, 1, s)
     words = TABLES // 2
 
@@ -122,28 +136,136 @@ def _codes(units: DataFrame, s: int) -> DataFrame:
     return units.select("id", "u").mapInArrow(run, "id long, " + ", ".join(f"w{k} long" for k in range(words)))
 
 
-def _substring(table: int, prefix: str = "") -> Column:
-    w = F.col(f"{prefix}w{table // 2}")
-    return F.shiftrightunsigned(w, 32) if table % 2 else w.bitwiseAND(F.lit(0xFFFFFFFF))
+def _key(table: int) -> Column:
+    """The key of a code's own substring: table and substring in one number."""
+    w = F.col(f"w{table // 2}")
+    sub = F.shiftrightunsigned(w, 32) if table % 2 else w.bitwiseAND(F.lit(0xFFFFFFFF))
+    return sub.bitwiseOR(F.lit(table << 32))
+
+
+def _around(rows: DataFrame, own: str, key: str, s: int) -> DataFrame:
+    """``rows`` for each key within one bit of the key in ``own``, as ``key``."""
+    masks = F.array(*[F.lit(m).cast("long") for m in (0, *(1 << k for k in range(s)))])  # a constant
+    return rows.select(*rows.columns, F.explode(masks).alias("mask")).select(*[c for c in rows.columns if c != key], F.col(own).bitwiseXOR(F.col("mask")).alias(key))
+
+
+def hot_keys(codes: DataFrame, s: int) -> DataFrame:
+    """(key): the keys with more than ``HOT`` rows.
+
+    Counted from the codes' own substrings: a key's rows are those of the s + 1 substrings
+    around it, so one of these has at least its even share of them.
+    """
+    own = codes.select(F.explode(F.array(*[_key(t) for t in range(TABLES)])).alias("own")).groupBy("own").agg(F.count(F.lit(1)).alias("n"))
+    own = cut(own)
+    maybe = _around(own.where(F.col("n") * (s + 1) > HOT).select("own"), "own", "key", s).select("key").distinct()
+    parts = _around(maybe, "key", "own", s)
+    return cut(parts.join(own.hint("merge"), "own").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("key"))
+
+
+def entries(codes: DataFrame, s: int) -> DataFrame:
+    """(key, id, w0, w1): the index, every code under all keys within one bit."""
+    own = codes.select(F.explode(F.array(*[_key(t) for t in range(TABLES)])).alias("own"), "id", "w0", "w1")
+    return _around(own, "own", "key", s).select("key", "id", "w0", "w1")
+
+
+def _met(key: np.ndarray, ids: np.ndarray, w: list[np.ndarray], s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows under the same key (they stand together) that count there: their codes
+    are near enough and this is the first table and the first key in which they meet."""
+    most = max(GUARANTEED, math.ceil(FURTHER * TABLES * s))
+    low, out = np.uint64(0xFFFFFFFF), []
+    at, d = np.arange(len(key)), 0
+    while True:
+        d += 1
+        at = at[at + d < len(key)]
+        at = at[key[at] == key[at + d]]
+        if not len(at):
+            break
+        x = [v[at] ^ v[at + d] for v in w]
+        near = np.flatnonzero(sum(np.bitwise_count(v).astype(np.int16) for v in x) <= most)
+        if not len(near):
+            continue
+        i = at[near]
+        k, table = key[i] & low, (key[i] >> np.uint64(32)).astype(np.int64)
+        subs = [(x[t // 2][near] >> np.uint64(32 * (t % 2))) & low for t in range(TABLES)]
+        apart = np.stack([np.bitwise_count(v) for v in subs])
+        first = np.argmax(apart <= 2, axis=0) == table
+        mine = np.stack([(w[t // 2][i] >> np.uint64(32 * (t % 2))) & low for t in range(TABLES)])
+        cols = np.arange(len(i))
+        own, diff = mine[table, cols], np.stack(subs)[table, cols]
+        one = diff & (~diff + np.uint64(1))  # the lowest bit in which they differ
+        # of the keys that they share the least of those that differ from both, or the lower substring
+        here = np.where(diff == 0, own, np.where(diff == one, np.minimum(own, own ^ diff), np.minimum(own ^ one, own ^ diff ^ one)))
+        keep = i[first & (here == k) & (ids[i] != ids[i + d])]
+        if len(keep):
+            out.append((ids[keep], ids[keep + d]))
+    return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, np.int64),) * 2
+
+
+def candidate_pairs(index: DataFrame, s: int) -> DataFrame:
+    """(a, b): the pairs that meet under a key of ``index`` (no hot ones), each once."""
+    import pyarrow as pa
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = []
 
-def candidate_pairs(codes: DataFrame, s: int) -> DataFrame:
-    """(a, b): pairs that meet in a table and are within the Hamming radius, each once."""
-    words = [f"w{k}" for k in range(TABLES // 2)]
-    entries = codes.select("id", *words, F.posexplode(F.array(*[_substring(t) for t in range(TABLES)])).alias("t", "c"))
-    at = F.shiftleft(F.col("t").cast("long"), 32)
-    index = entries.select(at.bitwiseOR(F.col("c")).alias("key"), F.col("id").alias("b"), *[F.col(w).alias("b" + w) for w in words], "t")
-    bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << k).cast("long") for k in range(s)])
-    probes = entries.select("id", *words, "t", "c", F.explode(bits).alias("bit")).where(F.col("c").bitwiseAND(F.col("bit")) == 0)
-    probes = probes.select(at.bitwiseOR(F.col("c")).bitwiseOR(F.col("bit")).alias("key"), F.col("id").alias("a"), *[F.col(w).alias("a" + w) for w in words], (F.col("bit") == 0).alias("same"))
-    met = probes.join(index, "key").where((F.col("a") < F.col("b")) | (~F.col("same") & (F.col("a") != F.col("b"))))
-    x = [F.col("a" + w).bitwiseXOR(F.col("b" + w)) for w in words]
-    apart = sum((F.bit_count(w) for w in x[1:]), F.bit_count(x[0]))
-    sub = [F.bit_count(F.shiftrightunsigned(x[t // 2], 32) if t % 2 else x[t // 2].bitwiseAND(F.lit(0xFFFFFFFF))) for t in range(TABLES)]
-    earlier = F.lit(False)
-    for t in range(TABLES - 1):
-        earlier = earlier | ((F.col("t") > t) & (sub[t] <= 1))
-    return met.where((apart <= math.ceil(RADIUS * TABLES * s)) & ~earlier).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        def found(rows: list[np.ndarray]) -> pa.RecordBatch:
+            a, b = _met(rows[0].astype(np.uint64), rows[1], [r.view(np.uint64) for r in rows[2:]], s)
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            waiting.append([np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns])
+            if sum(len(w[0]) for w in waiting) < AT_ONCE:
+                continue
+            rows, waiting = [np.concatenate(p) for p in zip(*waiting)], []
+            last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
+            yield found([r[:last] for r in rows])
+            waiting.append([r[last:] for r in rows])
+        if waiting:
+            yield found([np.concatenate(p) for p in zip(*waiting)])
+
+    ordered = index.select("key", "id", "w0", "w1").repartition("key").sortWithinPartitions("key")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _similarities(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the pairs from ``least`` on, by the real vectors."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (c.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64) for c in b.columns[2:])
+                dot = np.einsum("ij,ij->i", x, y)
+                at = pa.array(np.flatnonzero(dot >= least))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(dot[dot >= least])], ["a", "b", "similarity"])
+
+    one = pairs.join(reps.select(F.col("id").alias("a"), F.col("u").alias("ua")).hint("merge"), "a")
+    both = one.join(reps.select(F.col("id").alias("b"), F.col("u").alias("ub")).hint("merge"), "b")
+    return both.select("a", "b", "ua", "ub").mapInArrow(run, "a long, b long, similarity double")
+
+
+def regions(index: DataFrame) -> DataFrame:
+    """(region, id) of the rows under hot keys: keys that share a vector are one region."""
+    of = cut(index.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("id", "keys", F.element_at("keys", 1).alias("key")))  # TABLES * (s + 1) keys at most
+    edges = of.select(F.explode("keys").alias("a"), F.col("key").alias("b")).distinct()
+    found = connected_components(edges)
+    return of.select("id", "key").join(found.select(F.col("vertex").alias("key"), F.col("component").alias("region")).hint("merge"), "key").select("region", "id")
+
+
+def best_in_regions(members: DataFrame, reps: DataFrame, k: int, least: float, dims: int, block: int | None = None) -> DataFrame:
+    """(a, b, similarity): for each vector of a region, in each block of the region, the k
+    most similar others from ``least`` on."""
+    block = block or BLOCK
+    sizes = members.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    placed = members.join(sizes.hint("merge"), "region").join(reps.hint("merge"), "id")
+    placed = placed.withColumn("parts", F.ceil(F.col("n") / block)).withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    asks = placed.select("region", F.col("mine").alias("ask"), other.alias("of"), "id", "u")
+    fresh = [F.col(c).alias(c) for c in ("region", "id", "u")]  # names of its own, for the same rows stand on both sides
+    answers = placed.select(other.alias("ask"), F.col("mine").alias("of"), *fresh)
+    return asks.groupBy("region", "ask", "of").cogroup(answers.groupBy("region", "ask", "of")).applyInArrow(_compare(k, dims, least), "a long, b long, similarity double")
 
 
 def _classes(responses: DataFrame, k: int, dims: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -153,16 +275,16 @@ def _classes(responses: DataFrame, k: int, dims: int) -> tuple[DataFrame, DataFr
     nth = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
     firsts = units.select("cls", "id").withColumn("n", nth).where(F.col("n") <= k + 1)
     classes = cut(firsts.groupBy("cls").agg(F.array_sort(F.collect_list("id")).alias("members")).select("cls", F.element_at("members", 1).alias("rep"), "members"))
-    reps = cut(units.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "u"))
+    reps = cut(units.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select("id", "u"))
     return units, classes, reps
 
 
 def _expanded(units: DataFrame, classes: DataFrame, best: DataFrame, k: int) -> DataFrame:
     """(chunk_id, neighbour, similarity) from the nearest representatives (a, b, similarity)."""
-    lists = best.join(classes.select(F.col("rep").alias("b"), F.col("members").alias("theirs")), "b")
+    lists = best.join(classes.select(F.col("rep").alias("b"), F.col("members").alias("theirs")).hint("merge"), "b")
     lists = lists.groupBy("a").agg(F.array_sort(F.collect_list(F.struct((-F.col("similarity")).alias("d"), "b", "theirs"))).alias("l"))
     around = lists.select(F.col("a").alias("rep"), F.slice(F.flatten(F.transform("l", lambda c: F.transform(c["theirs"], lambda i: F.struct(i.alias("neighbour"), (-c["d"]).alias("similarity"))))), 1, k).alias("around"))
-    per = units.select("id", "cls").join(classes, "cls").join(around, "rep", "left")
+    per = units.select("id", "cls").join(classes.hint("merge"), "cls").join(around.hint("merge"), "rep", "left")
     copies = F.transform(F.filter("members", lambda i: i != F.col("id")), lambda i: F.struct(i.alias("neighbour"), F.lit(1.0).alias("similarity")))
     of = F.slice(F.concat(copies, F.coalesce("around", F.array().cast("array<struct<neighbour:bigint,similarity:double>>"))), 1, k)
     return per.select(F.col("id").alias("chunk_id"), F.explode(of).alias("n")).select("chunk_id", "n.neighbour", F.least("n.similarity", F.lit(1.0)).alias("similarity"))
@@ -178,13 +300,16 @@ def nearest(responses: DataFrame, k: int = K, least: float = LEAST_SIMILARITY, d
     gives an empty one; other columns are not read.
     """
     units, classes, reps = _classes(responses, k, dims)
-    s = substring_bits(units.count())
+    s = substring_bits(reps.count())
     codes = cut(_codes(reps, s))
-    pairs = candidate_pairs(codes, s)
-    dot = F.aggregate(F.zip_with("ua", "ub", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
-    near = pairs.join(reps.select(F.col("id").alias("a"), F.col("u").alias("ua")), "a").join(reps.select(F.col("id").alias("b"), F.col("u").alias("ub")), "b").select("a", "b", dot.alias("similarity")).where(F.col("similarity") >= least)
-    near = cut(near)
+    index, hot = entries(codes, s), hot_keys(codes, s)
+    none = hot.isEmpty()
+    light = index if none else index.join(hot.hint("merge"), "key", "left_anti")
+    near = cut(_similarities(candidate_pairs(light, s), reps, least))
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
+    if not none:
+        dense = cut(regions(index.join(hot.hint("merge"), "key", "left_semi").select("key", "id")))
+        both = both.unionByName(best_in_regions(dense, reps, k, least, dims)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     best = both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("n") <= k)
     return _expanded(units, classes, best, k)
 
@@ -208,14 +333,43 @@ def _part(ids: np.ndarray, parts: np.ndarray | int) -> np.ndarray:
     return ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
 
 
+def _compare(k: int, dims: int, least: float = -1.5):
+    """(asked, index) -> (a, b, similarity): for each asked vector the k most similar others
+    of the index, by matrix products of 1,024 rows, from ``least`` on."""
+    import pyarrow as pa
+
+    def compare(asked: pa.Table, index: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if asked.num_rows and index.num_rows:
+            ids, there = asked.column("id").to_numpy(), index.column("id").to_numpy()
+            x, y = _matrix(asked.column("u").combine_chunks(), dims), _matrix(index.column("u").combine_chunks(), dims)
+            some = min(len(there), k + 4)
+            for i in range(0, len(ids), 1024):
+                s = x[i : i + 1024] @ y.T
+                s[ids[i : i + 1024, None] == there[None, :]] = -2
+                top = np.argpartition(-s, some - 1, axis=1)[:, :some]
+                exact = np.einsum("id,ijd->ij", x[i : i + 1024].astype(np.float64), y[top].astype(np.float64))
+                who = there[top]
+                exact[who == ids[i : i + 1024, None]] = -2
+                order = np.lexsort((who, -exact), axis=1)[:, :k]
+                keep = np.take_along_axis(exact, order, 1)
+                r, c = np.nonzero(keep >= least)
+                out[0].append(ids[i + r])
+                out[1].append(np.take_along_axis(who, order, 1)[r, c])
+                out[2].append(keep[r, c])
+        kinds = [np.int64, np.int64, np.float64]
+        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, t)) for o, t in zip(out, kinds)], ["a", "b", "similarity"])
+
+    return compare
+
+
 def best_in_cells(reps: DataFrame, k: int, dims: int) -> DataFrame:
     """(a, b, similarity): for each vector of (id, u) the k most similar others of the
     cells that it asks."""
     import pyarrow as pa
 
     size = reps.count()
-    sample = _matrix(reps.select("id", "u").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("u").toArrow().column("u").combine_chunks(), dims) if size else np.zeros((1, dims))
-    centres = learn_cells(sample.astype(np.float32), max(1, min(CELLS, size // 64)))
+    centres = learn_cells(_sample(reps).astype(np.float32), max(1, min(CELLS, size // 64)))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,31 +404,9 @@ def best_in_cells(reps: DataFrame, k: int, dims: int) -> DataFrame:
                     part.append(p * asking + mine[i])
                 yield rows(b, at, cell, part)
 
-    def compare(asked: pa.Table, index: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        if asked.num_rows and index.num_rows:
-            ids, there = asked.column("id").to_numpy(), index.column("id").to_numpy()
-            x, y = _matrix(asked.column("u").combine_chunks(), dims), _matrix(index.column("u").combine_chunks(), dims)
-            some = min(len(there), k + 4)
-            for i in range(0, len(ids), 1024):
-                s = x[i : i + 1024] @ y.T
-                s[ids[i : i + 1024, None] == there[None, :]] = -2
-                top = np.argpartition(-s, some - 1, axis=1)[:, :some]
-                exact = np.einsum("id,ijd->ij", x[i : i + 1024].astype(np.float64), y[top].astype(np.float64))
-                who = there[top]
-                exact[who == ids[i : i + 1024, None]] = -2
-                order = np.lexsort((who, -exact), axis=1)[:, :k]
-                keep = np.take_along_axis(exact, order, 1)
-                r, c = np.nonzero(keep > -1.5)
-                out[0].append(ids[i + r])
-                out[1].append(np.take_along_axis(who, order, 1)[r, c])
-                out[2].append(keep[r, c])
-        kinds = [np.int64, np.int64, np.float64]
-        return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, t)) for o, t in zip(out, kinds)], ["a", "b", "similarity"])
-
     schema = "cell int, part int, id long, u array<float>"
     asked = reps.select("id", "u").mapInArrow(asks, schema).groupBy("cell", "part")
-    met = asked.cogroup(reps.select("id", "u").mapInArrow(members, schema).groupBy("cell", "part")).applyInArrow(compare, "a long, b long, similarity double")
+    met = asked.cogroup(reps.select("id", "u").mapInArrow(members, schema).groupBy("cell", "part")).applyInArrow(_compare(k, dims), "a long, b long, similarity double")
     return met.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("n") <= k)
 
 

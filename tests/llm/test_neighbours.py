@@ -106,3 +106,39 @@ def test_nearest_without_a_floor(spark, monkeypatch):
         assert all(len(got[i]) == 5 and i not in got[i] and np.allclose(sorted(got[i].values()), want[i], atol=1e-5) for i in ids)
     assert N.nearest_any(df.limit(0)).count() == 0 and N.nearest_any(df.where("chunk_id = 4")).count() == 0
     assert N.nearest_any(df.where("chunk_id < 4")).count() == 12
+
+
+@pytest.mark.parametrize("s", [16, 18])
+def test_every_code_within_the_radius_is_retrieved(spark, s):
+    rnd = np.random.default_rng(s)
+    bits = rnd.integers(0, 2, (400, N.TABLES * s))
+    for i in range(100, 400):  # codes at every distance of the first hundred
+        bits[i] = bits[i % 100]
+        bits[i, rnd.permutation(N.TABLES * s)[: i % (N.GUARANTEED + 4)]] ^= 1
+    subs = (bits.reshape(400, N.TABLES, s) * (1 << np.arange(s))).sum(axis=2)
+    rows = [(i, int(a | b << 32), int(c | d << 32)) for i, (a, b, c, d) in enumerate(subs)]
+    codes = spark.createDataFrame(rows, "id long, w0 long, w1 long")
+    got = [tuple(r) for r in N.candidate_pairs(N.entries(codes, s), s).collect()]
+    apart = (bits[:, None] != bits[None]).sum(axis=2)
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if apart[i, j] <= N.GUARANTEED}
+    assert len(got) == len(set(got)) and want <= set(got)
+    assert all(a < b and apart[a, b] <= max(N.GUARANTEED, np.ceil(N.FURTHER * N.TABLES * s)) for a, b in got)
+
+
+def test_near_equal_vectors_in_great_number(spark, monkeypatch):
+    rnd = np.random.default_rng(11)
+    vecs = rnd.normal(size=(1200, 64))
+    vecs[:400] = vecs[0] + rnd.normal(size=(400, 64)) * 0.02  # a third of all, all alike, no two the same
+    vecs[400:600] = vecs[400] + rnd.normal(size=(200, 64)) * 0.2
+    rows = [(i, i, None, [v.tolist()], 0, "") for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    ids, s = brute([(r[1], r[3]) for r in rows])
+    want = expected(ids, s)
+    monkeypatch.setattr(N, "HOT", 60)
+    monkeypatch.setattr(N, "BLOCK", 150)
+    codes = N._codes(N._classes(df, 5, 64)[2], 16)
+    index = [r.key for r in N.entries(codes, 16).collect()]
+    counts = {k: index.count(k) for k in set(index)}
+    assert {r.key for r in N.hot_keys(codes, 16).collect()} == {k for k, n in counts.items() if n > 60} != set()
+    got = {tuple(r) for r in N.similar_pairs(df).collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
