@@ -1,9 +1,12 @@
 """Problem 7: mixing sources to target weights by cube-method balanced sampling.
 
-The mixture is the largest in which every source that has tokens keeps its share and no
-document is used more often than its source allows. A source then needs ``e`` copies of
-each of its documents on average: floor(e) of each, and one more of a balanced sample
-with inclusion probability e - floor(e).
+The mixture is the largest in which every source that has tokens can keep its share with
+documents that are no larger than its part, none of them used more often than its source
+allows: a document larger than the part would by itself exceed it, so it is no capacity
+and isn't drawn (only where a source has no other, its smallest one may be). That size is the greatest fixed point of a falling sequence of bounds
+(``plan``). A source then needs ``e`` copies of each of these documents on average:
+floor(e) of each, and one more of a balanced sample with inclusion probability
+e - floor(e). A source's tokens miss its part by less than its largest drawn document.
 
 The sample is drawn by the flight phase of the cube method (Deville and Tille; the fast
 variant of Chauvet and Tille): three units at a time move along the null space of the
@@ -31,10 +34,12 @@ from .corpus_encoding import default_pattern, default_vocabulary, encoder_of, vo
 BLOCK, SEED = 4096, 17
 #: Documents of a source that only the landing decides, with the two left by the flight.
 HELD = 14
-#: Documents of more than this part of their source's tokens in the mixture are drawn
-#: first, and the others then fill what is left: nothing else could balance them.
-LARGE = 0.02
-MOST_SOURCES = 100_000
+#: Documents are drawn in strata of falling size, as parts of their source's tokens in the
+#: mixture: what a stratum gives too much or too little the next, of smaller documents,
+#: makes good.
+STRATA = (0.02, 0.002)
+#: Rows of the targets, at most; more are an error.
+MOST_SOURCES = 10_000
 #: Fractions of a copy this near to none or one are none or one.
 EPS = 1e-9
 
@@ -119,7 +124,8 @@ def land(p: list[float], w: list[int]) -> list[float]:
 
 
 def balanced_sample(units: DataFrame, counts: dict[str, int], block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """units (doc_id, name, tokens, p) with p turned into 0 or 1."""
+    """units (doc_id, name, tokens, p) with p turned into 0 or 1; ``counts`` has the number
+    of units of each name (one for each source: at most ``MOST_SOURCES``)."""
     import pyarrow as pa
 
     def step(final: bool, round_no: int):
@@ -141,12 +147,12 @@ def balanced_sample(units: DataFrame, counts: dict[str, int], block: int = BLOCK
     most, round_no, done = max([1, *counts.values()]), 0, None
     while True:
         blocks = math.ceil(most / block)
-        by = F.pmod(F.shiftright("h", 3 + 7 * round_no), F.lit(blocks)) if blocks > 1 else F.lit(0)
-        # a small source needs no more blocks than its own rows fill
-        if blocks > 1 and round_no == 0:
-            own = F.coalesce(F.element_at(F.create_map(*[x for k, v in counts.items() for x in (F.lit(k), F.lit(math.ceil(v / block)))]), F.col("name")), F.lit(1))
-            by = F.pmod(F.shiftright("h", 3), own)
-        flown = now.withColumn("block", by.cast("long")).groupBy("name", "block").applyInArrow(step(blocks == 1, round_no), schema)
+        if blocks > 1 and round_no == 0:  # a small source needs no more blocks than its own rows fill
+            own = units.sparkSession.createDataFrame([(k, math.ceil(v / block)) for k, v in counts.items()], "name string, own long")
+            now = now.join(F.broadcast(own), "name", "left").withColumn("block", F.pmod(F.shiftright("h", 3), F.coalesce("own", F.lit(1)))).drop("own")
+        else:
+            now = now.withColumn("block", (F.pmod(F.shiftright("h", 3 + 7 * round_no), F.lit(blocks)) if blocks > 1 else F.lit(0)).cast("long"))
+        flown = now.groupBy("name", "block").applyInArrow(step(blocks == 1, round_no), schema)
         if blocks == 1:
             return flown if done is None else done.unionByName(flown)
         flown = cut(flown)
@@ -156,59 +162,99 @@ def balanced_sample(units: DataFrame, counts: dict[str, int], block: int = BLOCK
         most, round_no = 2 * blocks, round_no + 1
 
 
-def plan(targets: DataFrame, totals: dict[str, tuple[int, int]], total_tokens: int | None = None) -> list[tuple[str, str, float, int, float, int, int]]:
-    """(source, name, target share, max repeats, copies of each document, documents, tokens)."""
+def wanted_sources(targets: DataFrame) -> dict[str, tuple[str, float, int]]:
+    """name -> (source, share, max repeats); of repeated names the shares add up."""
     rows = targets.select(F.col("source").cast("string").alias("source"), source_key(F.col("source")).alias("name"), F.col("target_share").cast("double").alias("share"), F.col("max_repeats").cast("long").alias("most")).where("source is not null and share > 0 and most > 0").orderBy("source").limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:
-        raise ValueError("too many sources")
-    wanted: dict[str, list] = {}
-    for r in rows:  # one row for each name: of repeated ones the shares add up
-        if r.name in wanted:
-            wanted[r.name][1] += r.share
-        else:
-            wanted[r.name] = [r.source, r.share, r.most]
-    have = {k: totals.get(k, (0, 0)) for k in wanted}
-    there = sum(v[1] for k, v in wanted.items() if have[k][1])
-    reach = min([have[k][1] * v[2] / (v[1] / there) for k, v in wanted.items() if have[k][1]], default=0.0)
-    if total_tokens is not None:
-        reach = min(reach, total_tokens)
-    return [(v[0], k, v[1], v[2], reach * v[1] / there / have[k][1] if have[k][1] else 0.0, *have[k]) for k, v in sorted(wanted.items())]
+        raise ValueError(f"more than {MOST_SOURCES} rows of targets")
+    wanted: dict[str, tuple[str, float, int]] = {}
+    for r in rows:
+        s = wanted.get(r.name)
+        wanted[r.name] = (s[0], s[1] + r.share, s[2]) if s else (r.source, r.share, r.most)
+    return wanted
 
 
-def _prepared(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, dict[str, tuple[int, int]]]:
-    names = targets.select(source_key(F.col("source")).alias("target")).where("target is not null").distinct()
-    counted = with_tokens(docs).where("tokens > 0 and name is not null")
+def _totals(rows: DataFrame, parts: dict[str, float]) -> dict[str, tuple[int, int]]:
+    """name -> (documents, tokens) of the documents that are no larger than their part."""
+    most = rows.sparkSession.createDataFrame(list(parts.items()), "name string, part double")
+    fits = rows.join(F.broadcast(most), "name").where(F.col("tokens") <= F.col("part"))
+    return {r["name"]: (r["n"], r["tokens"]) for r in fits.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).collect()}
+
+
+def plan(rows: DataFrame, wanted: dict[str, tuple[str, float, int]], total_tokens: int | None = None) -> dict[str, tuple[float, int, int]]:
+    """name -> (part in tokens, documents, tokens of the documents that it may use).
+
+    The size of the mixture begins with what all documents would allow and falls to what
+    those allow that fit into their source's part, until it stands: every source then
+    has enough, but for those all of whose documents exceed their part, which don't count
+    (no size suits them together with the others). A fall at least leaves out a document that alone exceeds the part, so
+    there are few rounds; each is one aggregate, of a row for each source.
+    """
+    have = _totals(rows, {k: float("inf") for k in wanted})
+    there = sum(wanted[k][1] for k in have)
+    size = float("inf") if total_tokens is None else float(total_tokens)
+    fits = have
+    while have:
+        new = min([size, *(tokens * wanted[k][2] / (wanted[k][1] / there) for k, (_, tokens) in fits.items())])
+        if new >= size * (1 - 1e-12) and fits is not have:
+            break
+        size = new
+        fits = _totals(rows, {k: size * wanted[k][1] / there for k in have})
+    return {k: (size * wanted[k][1] / there, *fits.get(k, (0, 0))) for k in have}
+
+
+def _nearest_document(rows: DataFrame, lonely: dict[str, tuple[str, float]]) -> DataFrame:
+    """(doc_id, source, tokens, copies): of each source all of whose documents exceed its
+    part the smallest one, if with it the source is nearer to its part than with none."""
+    most = rows.sparkSession.createDataFrame([(k, s, part) for k, (s, part) in lonely.items()], "name string, source string, part double")
+    least = rows.join(F.broadcast(most), "name").groupBy("name", "source", "part").agg(F.min(F.struct("tokens", "doc_id")).alias("d"))
+    return least.where(F.col("d.tokens") < 2 * F.col("part")).select("d.doc_id", "source", "d.tokens", F.lit(1).cast("long").alias("copies"))
+
+
+def _prepared(docs: DataFrame, wanted: dict[str, tuple[str, float, int]]) -> DataFrame:
+    """(doc_id, name, tokens) of the documents of wanted sources, computed once."""
     # a plural is another notation of the same source
-    known = names.select("target", F.col("target").alias("key")).unionByName(names.select("target", F.concat("target", F.lit("s")).alias("key")))
-    known = known.groupBy("key").agg(F.coalesce(F.max(F.when(F.col("key") == F.col("target"), F.col("target"))), F.min("target")).alias("target"))
-    rows = cut(counted.join(known, counted["name"] == known["key"]).select("doc_id", F.col("target").alias("name"), "tokens"))
-    sums = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).limit(MOST_SOURCES).collect()
-    return rows, {r["name"]: (r["n"], r["tokens"]) for r in sums}
+    known = {f"{k}s": k for k in sorted(wanted, reverse=True)} | {k: k for k in wanted}
+    names = docs.sparkSession.createDataFrame(list(known.items()), "key string, target string")
+    counted = with_tokens(docs).where("tokens > 0 and name is not null")
+    return cut(counted.join(F.broadcast(names), counted["name"] == names["key"]).select("doc_id", F.col("target").alias("name"), "tokens"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = SEED) -> DataFrame:
     """(doc_id, source, tokens, copies) of every document in the mixture.
 
     Sources are compared without case, separators and plural; documents of no target
-    source, without a source or without a token are not used; a target source without
-    documents gets nothing, and the other shares keep their proportions; repeated rows
-    are documents of their own; null ids stay null; empty tables give an empty mixture;
-    other columns are not read. The same seed draws the same sample.
+    source, without a source or without a token are not used, nor those larger than
+    their source's part (of a source that has only such ones the smallest is used once if
+    that is nearer to its part than nothing); a target source without documents gets nothing, and the other
+    shares keep their proportions; repeated rows are documents of their own; null ids
+    stay null; empty tables give an empty mixture; other columns are not read. More than
+    ``MOST_SOURCES`` rows of targets are an error. The same seed draws the same sample.
     """
-    rows, totals = _prepared(docs, targets)
-    plans = plan(targets, totals, total_tokens)
-    large = F.col("tokens") > F.col("part") * LARGE
-    parts = spark.createDataFrame([(p[1], p[4] * p[6]) for p in plans], "name string, part double")
-    sized = rows.join(F.broadcast(parts), "name").withColumn("large", large)  # a row for each target: at most MOST_SOURCES
-    sums = {r["name"]: (r["n"], r["tokens"]) for r in sized.where("large").groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).collect()}
-    first = _sampled(spark, sized.where("large"), [(p[0], p[1], p[4], sums.get(p[1], (0, 0))[0]) for p in plans], seed)
-    first = cut(first)
-    used = {r["source"]: r["tokens"] for r in first.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens")).collect()}
-    rest = []
-    for source, name, _, most, copies, n, tokens in plans:
-        left = tokens - sums.get(name, (0, 0))[1]
-        rest.append((source, name, min(float(most), max(0.0, (copies * tokens - used.get(source, 0)) / left)) if left else 0.0, n - sums.get(name, (0, 0))[0]))
-    return first.unionByName(_sampled(spark, sized.where("not large"), rest, seed)).where("copies > 0")
+    wanted = wanted_sources(targets)
+    rows = _prepared(docs, wanted)
+    plans = plan(rows, wanted, total_tokens)
+    parts = spark.createDataFrame([(k, p[0]) for k, p in plans.items()], "name string, part double")
+    stratum = sum((F.when(F.col("tokens") <= F.col("part") * x, 1).otherwise(0) for x in STRATA[1:]), F.when(F.col("tokens") <= F.col("part") * STRATA[0], 1).otherwise(0))
+    sized = rows.join(F.broadcast(parts), "name").where(F.col("tokens") <= F.col("part")).withColumn("stratum", stratum)
+    sums = {(r["stratum"], r["name"]): (r["n"], r["tokens"]) for r in sized.groupBy("stratum", "name").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("tokens")).collect()}
+    name_of = {wanted[k][0]: k for k in plans}
+    used: dict[str, int] = {}
+    left = {k: tokens for k, (_, _, tokens) in plans.items()}
+    mixed = None
+    for st in range(len(STRATA) + 1):
+        # each stratum is to give its part of what is still to be given, whatever those before gave
+        here = {k: (part - used.get(k, 0)) / left[k] if left[k] else 0.0 for k, (part, _, _) in plans.items()}
+        copies = [(wanted[k][0], k, min(float(wanted[k][2]), max(0.0, e)), sums.get((st, k), (0, 0))[0]) for k, e in here.items()]
+        drawn = cut(_sampled(spark, sized.where(F.col("stratum") == st), copies, seed))
+        for r in drawn.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens")).collect():
+            k = name_of[r["source"]]
+            used[k] = used.get(k, 0) + (r["tokens"] or 0)
+        left = {k: v - sums.get((st, k), (0, 0))[1] for k, v in left.items()}
+        mixed = drawn if mixed is None else mixed.unionByName(drawn)
+    mixed = mixed.where("copies > 0")
+    lonely = {k: (wanted[k][0], part) for k, (part, n, _) in plans.items() if not n}
+    return mixed.unionByName(_nearest_document(rows, lonely)) if lonely else mixed
 
 
 def _sampled(spark: SparkSession, rows: DataFrame, copies: list[tuple[str, str, float, int]], seed: int) -> DataFrame:

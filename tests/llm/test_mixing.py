@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from strandline.llm import mixing as M
 from strandline.sources.tables import table
 
@@ -64,3 +66,43 @@ def test_blocks_meet(spark):
     for name in ("hot", "cold"):
         want = sum(t * p for _, n, t, p in rows if n == name)
         assert abs(sum(r.tokens * r.p for r in got if r.name == name) - want) < 400
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_shares_miss_by_less_than_a_document(spark, sf):
+    docs, targets = (table(spark, f"/root/testdata/{sf}", t) for t in ("documents", "mix_targets"))
+    mixed = M.mixture(spark, docs, targets).collect()
+    wanted = {r.source: r for r in targets.collect()}
+    total = sum(r.tokens * r.copies for r in mixed)
+    used = {s: sum(r.tokens * r.copies for r in mixed if r.source == s) for s in wanted}
+    there = sum(r.target_share for s, r in wanted.items() if used[s])
+    assert all(r.copies <= wanted[r.source].max_repeats for r in mixed) and len({r.doc_id for r in mixed}) == len(mixed)
+    for s, n in used.items():
+        if n:
+            assert abs(n - total * wanted[s].target_share / there) <= max(r.tokens for r in mixed if r.source == s)
+    if sf == "sf0.1":
+        assert all(abs(n / total - wanted[s].target_share / there) < 1e-4 for s, n in used.items() if n)
+
+
+def test_a_document_that_exceeds_its_sources_part(spark):
+    """It is no capacity: the mixture is as large as the other documents allow."""
+    words = lambda i, n: (i, " word" * n, None)
+    rows = [(*words(i, 20)[:2], "a", "", "", 1) for i in range(200)]
+    rows += [(*words(1000 + i, 10)[:2], "b", "", "", 1) for i in range(10)] + [(2000, " word" * 1500, "b", "", "", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    targets = spark.createDataFrame([("a", 0.8, 1), ("b", 0.2, 4)], TARGETS)
+    got = {r.source: r for r in M.shares(spark, docs, targets).collect()}
+    assert got["b"].tokens_used == 400 and got["a"].tokens_used == 1600 and abs(got["b"].reached_share - 0.2) < 1e-9
+    # a source that has nothing smaller gives one copy of it, or nothing
+    only = spark.createDataFrame([*rows[:200], (2000, " word" * 1500, "b", "", "", 1)], DOCS)
+    got = {r.source: r.tokens_used for r in M.shares(spark, only, targets, total_tokens=4000).collect()}
+    assert got == {"a": 3200, "b": 1500}
+    got = {r.source: r.tokens_used for r in M.shares(spark, only, targets, total_tokens=3000).collect()}
+    assert got == {"a": 2400, "b": 0}
+
+
+def test_too_many_targets_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_SOURCES", 2)
+    targets = spark.createDataFrame([(s, 0.1, 1) for s in "abc"], TARGETS)
+    with pytest.raises(ValueError):
+        M.mixture(spark, spark.createDataFrame([], DOCS), targets)
