@@ -7,9 +7,10 @@ leaves, and each change climbs one path to the root. A pre-token of n bytes thus
 takes O(n log n), also where it is a megabyte without a space.
 
 Rows never meet: the operator is one ``mapInArrow`` without a shuffle, so it
-scales with the number of input splits and no group can become hot. Words repeat
-far more than they are new, so each Python worker keeps the ids of the words it
-has met (bounded by ``CACHE_WORDS``, short words only).
+scales with the number of input splits and no group can become hot. A pre-token that
+is itself a token needs no merge. Words repeat far more than they are new, so each
+Python worker keeps the ids that the tree gave for the words it has met (bounded by
+``CACHE_WORDS``, short words only).
 """
 
 from __future__ import annotations
@@ -24,9 +25,6 @@ from pyspark.sql import DataFrame, SparkSession
 CACHE_WORDS, CACHE_CHARS = 400_000, 48
 #: No pair: larger than every rank.
 NONE = 1 << 60
-#: Up to this many symbols a linear scan finds the lowest rank sooner than a tree
-#: can be built; the order of merges is the same.
-SHORT = 24
 
 
 def default_vocabulary() -> str:
@@ -50,28 +48,27 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
 class PairTree:
     """Segment tree over the ranks of adjacent pairs; the root holds the least."""
 
+    __slots__ = ("size", "least")
+
     def __init__(self, ranks: list[int]):
-        self.size = 1
-        while self.size < len(ranks):
-            self.size *= 2
-        self.least = [NONE] * self.size + ranks + [NONE] * (self.size - len(ranks))
-        for i in range(self.size - 1, 0, -1):
-            a, b = self.least[2 * i], self.least[2 * i + 1]
-            self.least[i] = a if a <= b else b
+        size = self.size = 1 << max(0, len(ranks) - 1).bit_length()
+        level = ranks + [NONE] * (size - len(ranks))
+        levels = [level]
+        while len(level) > 1:
+            level = list(map(min, level[::2], level[1::2]))
+            levels.append(level)
+        self.least = [NONE]
+        for level in reversed(levels):  # node i has the children 2 i and 2 i + 1
+            self.least += level
 
     def set(self, at: int, rank: int) -> None:
         least = self.least
         i = at + self.size
-        if least[i] == rank:
-            return
-        least[i] = rank
-        i >>= 1
-        while i:
-            a, b = least[2 * i], least[2 * i + 1]
-            new = a if a <= b else b
-            if least[i] == new:
-                return
-            least[i] = new
+        while i and least[i] != rank:
+            least[i] = rank
+            other = least[i ^ 1]
+            if other < rank:
+                rank = other
             i >>= 1
 
     def leftmost_least(self) -> tuple[int, int]:
@@ -80,12 +77,12 @@ class PairTree:
         rank = least[1]
         if rank == NONE:
             return -1, NONE
-        i = 1
-        while i < self.size:
-            i *= 2
+        i, size = 1, self.size
+        while i < size:
+            i += i
             if least[i] != rank:
                 i += 1
-        return i - self.size, rank
+        return i - size, rank
 
 
 class BytePairEncoder:
@@ -104,44 +101,27 @@ class BytePairEncoder:
         if whole is not None:
             return [whole]
         parts = [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(parts[i] + parts[i + 1], NONE) for i in range(len(parts) - 1)]
-        if len(parts) <= SHORT:
-            while pairs:
-                rank = min(pairs)
-                if rank == NONE:
-                    break
-                i = pairs.index(rank)
-                parts[i] += parts.pop(i + 1)
-                del pairs[i]
-                if i:
-                    pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], NONE)
-                if i < len(pairs):
-                    pairs[i] = ranks.get(parts[i] + parts[i + 1], NONE)
-            return [ranks[p] for p in parts]
-        return self.merge_by_tree(parts, pairs)
-
-    def merge_by_tree(self, parts: list[bytes], pairs: list[int]) -> list[int]:
-        ranks, n = self.ranks, len(parts)
-        tree = PairTree(pairs)
+        get, n = ranks.get, len(parts)
+        tree = PairTree([get(data[i : i + 2], NONE) for i in range(n - 1)])
+        change = tree.set
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while True:
             i, rank = tree.leftmost_least()
             if rank == NONE:
                 break
             j = after[i]
-            parts[i] += parts[j]
+            left = parts[i] = parts[i] + parts[j]
             parts[j] = b""
             k = after[i] = after[j]
-            if j < n - 1:
-                tree.set(j, NONE)
             if k < n:
                 before[k] = i
-                tree.set(i, ranks.get(parts[i] + parts[k], NONE))
+                change(j, NONE)
+                change(i, get(left + parts[k], NONE))
             else:
-                tree.set(i, NONE)
+                change(i, NONE)
             h = before[i]
             if h >= 0:
-                tree.set(h, ranks.get(parts[h] + parts[i], NONE))
+                change(h, get(parts[h] + left, NONE))
         return [ranks[p] for p in parts if p]
 
     def encode(self, text: str | None) -> list[int]:
