@@ -3,10 +3,10 @@
 Each position of an item has a boundary strength (blank line, line, sentence,
 clause, word, punctuation, none). A sparse table answers the range-maximum
 queries over these strengths, ties to the right: the next cut is the strongest
-position in the permissible window, and the piece after it begins ``overlap``
-characters before the cut. Only if the later half of the window has no boundary
-at all is the whole window asked, so that pieces are long yet end at a boundary
-wherever there is one.
+position in the whole permissible window (from ``shortest`` characters, by default
+one more than the overlap, to the limit), and the piece after it begins ``overlap``
+characters before the cut. Among equally strong cuts the last one is taken, so pieces
+are as long as their boundaries allow.
 
 Items never meet: one ``mapInArrow`` without a shuffle. Lines too short to hold
 an oversized item are filtered on the JVM's side before any row reaches Python.
@@ -104,14 +104,18 @@ class RangeMaximum:
         return b if self.strength[b] >= self.strength[a] else a
 
 
-def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, shortest: int | None = None) -> list[tuple[int, int, int]]:
     """(begin, end, strength of the end) of the pieces of a text, in order.
 
     A text within the limit is one piece. Each next piece begins ``overlap``
-    before the end of the one before; none is longer than ``limit``.
+    before the end of the one before; none is longer than ``limit`` nor, the last one
+    left out, shorter than ``shortest`` (at least overlap + 1, so that each goes on).
     """
     if not 0 <= overlap < limit // 2:
         raise ValueError("the overlap must be less than half of the limit")
+    shortest = max(overlap + 1, shortest or 0)
+    if shortest > limit:
+        raise ValueError("the shortest piece must be within the limit")
     n = len(text)
     if n <= limit:
         return [(0, n, BLANK_LINE)]
@@ -121,11 +125,7 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         if index is None or begin + limit >= base + len(index.strength):
             base = begin
             index = RangeMaximum(s[base : base + STRETCH + limit + 1], limit)
-        least, most = begin + overlap + 1 - base, begin + limit - base
-        late = max(least, begin + limit // 2 - base)
-        cut = index.best(late, most)
-        if index.strength[cut] <= ANY:
-            cut = index.best(least, most)
+        cut = index.best(begin + shortest - base, begin + limit - base)
         out.append((begin, cut + base, int(index.strength[cut])))
         begin = cut + base - overlap
     out.append((begin, n, BLANK_LINE))
@@ -143,7 +143,7 @@ def items_of(line: dict) -> Iterator[tuple[int, str, str]]:
             yield at, "tool_result", "".join(part_texts(b.get("content")))
 
 
-def split_log_items(lines: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, texts: bool = True) -> DataFrame:
+def split_log_items(lines: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, texts: bool = True, shortest: int | None = None) -> DataFrame:
     """The pieces of every oversized text block and tool result of claude-code lines.
 
     One row a piece: line_id, block_no, kind, piece_no, begin, end (code points of
@@ -166,7 +166,7 @@ def split_log_items(lines: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP
                 for line_id, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     for block_no, kind, text in items_of(decode(raw) or {}):
                         if len(text) > limit:
-                            for k, (a, z, strength) in enumerate(split(text, limit, overlap)):
+                            for k, (a, z, strength) in enumerate(split(text, limit, overlap, shortest)):
                                 out.append((line_id, block_no, kind, k, a, z, strength, clean(text[a:z]) if texts else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out) if out else [[]] * len(kinds), kinds)], schema=schema)
 
