@@ -1,11 +1,11 @@
 """Problem 3: credentials embedded in source code and configuration.
 
-One deterministic (Aho-Corasick) automaton holds the anchors of all grammars:
-prefixes of token formats, key armor, connection strings, and the words that names
-of secrets are made of. It reads each text once, in overlapping chunks, so a text
-of any length needs a bounded state. At an anchor a local grammar reads the value:
-what is assigned to the name, the password of a URL, the armored block. Values that
-would not give access (references, placeholders, masks, variables, hashes under
+One deterministic automaton (``automaton``) holds the grammars of token formats, key
+armor and connection strings. Its literal beginnings, and the words that names of secrets
+are made of, are found by an Aho-Corasick machine that reads each text once, in
+overlapping chunks; from the state after such a beginning the table goes on to the end of
+the value, however far that is. What is assigned to a name is read by a local grammar.
+Values that would not give access (references, placeholders, masks, variables, hashes under
 other names) are no secrets. Spans are absolute; those found twice in the overlap
 of two chunks, or by two grammars, are merged; placeholders are spliced in from the
 end. In a log line they are spliced into the JSON text itself, so everything around
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .automaton import Automaton
 from .loglines import blocks_of, clean, decode, slices
 
 PLACEHOLDER = "[REDACTED]"
@@ -35,8 +36,8 @@ CHUNK, CHUNK_OVERLAP = 1 << 16, 1 << 14
 # --- fixed values: formats of public services' tokens -----------------------------
 #: (prefix, what follows it). A token must not be part of a longer word.
 TOKEN_FORMATS = [
-    ("AKIA", r"[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("ASIA", r"[A-Z0-9]{16}(?![A-Za-z0-9])"),
+    ("AKIA", r"[A-Z0-9]{16}"),
+    ("ASIA", r"[A-Z0-9]{16}"),
     ("ghp_", r"[A-Za-z0-9]{30,}"),
     ("gho_", r"[A-Za-z0-9]{30,}"),
     ("ghu_", r"[A-Za-z0-9]{30,}"),
@@ -71,6 +72,14 @@ TOKEN_FORMATS = [
     ("AGE-SECRET-KEY-1", r"[A-Z0-9]{40,}"),
     ("eyJ", r"[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{8,}"),
 ]
+#: Formats of one length: what is longer is something else.
+WHOLE = {"AKIA", "ASIA"}
+#: Key armor: what it begins with, a whole block, and one whose end is cut off.
+ARMOR = r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+ARMORED = r"[\s+|>#*/\-\"',;\\A-Za-z0-9=:.()]*-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----"
+CUT_OFF = r"(?:\\n|[\sA-Za-z0-9+/=:,-])*"
+#: Connection strings: user and password before the host.
+CONNECTION = r"://[^\s/:@\"'`<>]*:[^\s@\"'`<>]+@[\w\[.-]"
 #: Words that make a name a secret's, anywhere in it or (``LAST``) as its last word.
 SECRET_WORDS = {"password", "passwd", "pwd", "passphrase", "passcode", "secret", "secrets", "token", "credential", "credentials", "pgpassword", "apikey", "authtoken", "userpass", "passwort", "kennwort", "contrasena", "senha", "motdepasse"}
 LAST = {"pass", "psk"}
@@ -83,34 +92,32 @@ WEAK = {"key", "sig", "signature", "sid", "auth", "code", "pat", "pin", "otp", "
 #: The parts of names that the automaton looks for.
 ANCHORS = ["pass", "pwd", "secret", "token", "key", "credential", "authorization", "auth", "sig", "sid", "cookie", "psk", "passwort", "kennwort", "contrase", "senha", "creds", "pw", "otp", "pin", "bearer", "seed", "mnemonic", "license", "identified by"]
 #: Commands, and what stands between them and a password argument.
+#: ("..." stands for the rest of the command up to the next one of its kind.)
 COMMANDS = {
     "sshpass": r"sshpass[ \t]+-p[ \t]*",
-    "curl": r"curl\b[^\n|;]{0,160}?[ \t](?:-u|--user)[ \t]*[\"']?[\w.@%+-]+:(?![/ ])",
-    "docker login": r"docker login\b[^\n|;]{0,160}?[ \t](?:-p|--password)[ \t=]+",
-    "podman login": r"podman login\b[^\n|;]{0,160}?[ \t](?:-p|--password)[ \t=]+",
-    "helm registry login": r"helm registry login\b[^\n|;]{0,160}?[ \t](?:-p|--password)[ \t=]+",
-    "mysql": r"mysql(?:dump|admin)?\b[^\n|;]{0,160}?[ \t]-p(?=[^\s-])",
-    "mongosh": r"mongosh?\b[^\n|;]{0,160}?[ \t](?:-p|--password)[ \t=]+",
-    "redis-cli": r"redis-cli\b[^\n|;]{0,160}?[ \t](?:-a|--pass)[ \t=]+",
-    "ldapsearch": r"ldapsearch\b[^\n|;]{0,160}?[ \t]-w[ \t]*",
-    "smbclient": r"smbclient\b[^\n|;]{0,160}?[ \t](?:-U)[ \t]*[\w.\\\\/-]+%",
-    "net use": r"net use [^\n|;]{0,120}?[ \t](?=\S+[ \t]+/user)",
-    "openssl": r"openssl\b[^\n|;]{0,160}?[ \t]-(?:pass(?:in|out)?|k)[ \t]+(?:pass:)?(?!file:|env:|stdin)",
+    "curl": r"curl\b...[ \t](?:-u|--user)[ \t]*[\"']?[\w.@%+-]+:(?![/ ])",
+    "docker login": r"docker login\b...[ \t](?:-p|--password)[ \t=]+",
+    "podman login": r"podman login\b...[ \t](?:-p|--password)[ \t=]+",
+    "helm registry login": r"helm registry login\b...[ \t](?:-p|--password)[ \t=]+",
+    "mysql": r"mysql(?:dump|admin)?\b...[ \t]-p(?=[^\s-])",
+    "mongosh": r"mongosh?\b...[ \t](?:-p|--password)[ \t=]+",
+    "redis-cli": r"redis-cli\b...[ \t](?:-a|--pass)[ \t=]+",
+    "ldapsearch": r"ldapsearch\b...[ \t]-w[ \t]*",
+    "smbclient": r"smbclient\b...[ \t](?:-U)[ \t]*[\w.\\\\/-]+%",
+    "net use": r"net use...[ \t](?=\S+[ \t]+/user)",
+    "openssl": r"openssl\b...[ \t]-(?:pass(?:in|out)?|k)[ \t]+(?:pass:)?(?!file:|env:|stdin)",
 }
 # ----------------------------------------------------------------------------------
 
-_COMMANDS = {k: re.compile(v) for k, v in COMMANDS.items()}
+_COMMANDS = {k: re.compile(v.replace("...", rf"(?:(?!{k})[^\n|;])*?")) for k, v in COMMANDS.items()}
 
-_TOKENS = {p: re.compile(re.escape(p) + r) for p, r in TOKEN_FORMATS}
-_ARMOR = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY(?: BLOCK)?-----")
-_ARMOR_BODY = re.compile(r"[\s+|>#*/\-\"',;\\A-Za-z0-9=:.()]*")
-_ARMOR_END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+_FORMATS = dict(TOKEN_FORMATS)
+_NO_TOKEN = re.compile(r"x{6}|\*{3}|\.{3}|(?i:example|redacted|your)")
 #: What may be base64 (also for URLs) of a text; shorter than any name with its secret.
 _ENCODED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}")
-_URL = re.compile(r"://([^\s/:@\"'`<>]{0,80}):([^\s/@\"'`<>]++|[^\s@\"'`<>]++)@(?=[\w\[.-])")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[A-Z]+|\d+")
-_IDENT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-."
-_NAMED = frozenset(_IDENT)
+_NAMED = re.compile(r"[A-Za-z0-9_.-]*")
+_NOT_NAMED = re.compile(r"[^A-Za-z0-9_.-]")
 #: After a name: closing quotes or brackets, a remark in brackets, and what assigns.
 _ASSIGN = re.compile(
     r"(?P<close>\\?[\"'`]?\]?)"
@@ -128,7 +135,8 @@ _JOIN = re.compile(r"[ \t]*(?:\+|\.|\\|\|\||&|,)?[ \t]*(?:\\?\r?\n[ \t+]*)?(?:\+
 _BARE = re.compile(r"[^\s\"'`<>,;)\]}]+")
 _IS_KEY = re.compile(r"[ \t]*:")
 _SAID = re.compile(r"(?: (?:for|of|on|to|at) [^\n.;:]{1,60}?)? (?:is|was|reads|will be)(?: now| still)? (?=\S)")
-_AS = re.compile(r"(?:^|[\s\"'`(])([^\s\"'`()]{5,200})[\"'`]? as (?:the |a |its |his |her |their |my |our |your )?$")
+_AS = re.compile(r"[\"'`]? as (?:the |a |its |his |her |their |my |our |your )?$")
+_SPACED = frozenset(" \t\n\r\v\f\"'`()")
 _SCHEME = re.compile(r"(?i)(?:bearer|basic|token|apikey|digest|key)[ \t]+")
 _REFERENCE = re.compile(
     r"(?is)\$\{.*|\$\(.*|\$\w+.*|\{\{.*|\{%.*|\{\w*\}|%\{?\w+\}?[%s]?|<.*|\[.*|\(.*|\*+|x{3,}|\.{2,}|…|-+|_+|#+|•+|your[-_ ].*|my[-_](?:secret|password|token|key).*|.*[-_]here|change[-_]?me.*|replace[-_]?me.*|todo.*|tbd|example.*|dummy|redacted|masked|hidden|removed|none|null|nil|undefined|true|false|yes|no|n/a|empty|string|str|text|env[:.].*|vault[:/].*|secret[:/].*|ref\+.*|file:.*|arn:.*|op:/.*|ssm:.*|\!.*|@.*|&.*|sha\d+-.*|sha\d+:.*"
@@ -204,11 +212,11 @@ class SecretScanner:
     def __init__(self) -> None:
         import ahocorasick
 
+        self.formats = Automaton([*((f, re.escape(f) + rest) for f, rest in TOKEN_FORMATS), ("armor", ARMOR), ("closed", ARMOR + ARMORED), ("open", ARMOR + CUT_OFF), ("connection", CONNECTION)])
         self.automaton = ahocorasick.Automaton()
-        for p, _ in TOKEN_FORMATS:
-            self._add(p.lower(), ("token", p))
-        self._add("-----begin ", ("armor", ""))
-        self._add("://", ("url", ""))
+        for p in (*_FORMATS, "-----BEGIN ", "://"):
+            self._add(p.lower(), ("format", p))
+        self.after = {p: self.formats.state_after(p) for p in (*_FORMATS, "-----BEGIN ", "://")}
         for command in COMMANDS:
             self._add(command, ("command", command))
         for a in ANCHORS:
@@ -225,31 +233,28 @@ class SecretScanner:
         if len(low) != len(text):
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
         found: set[tuple[int, int]] = set()
+        name = (0, 0)  # the last run of letters that names are made of
         names: set[int] = set()
         for base in range(0, max(1, len(text) - CHUNK_OVERLAP), CHUNK - CHUNK_OVERLAP):
             for end, (n, whats) in self.automaton.iter(low, base, min(len(low), base + CHUNK)):
                 at = end - n + 1
                 for what, p in whats:
                     if what == "name":
-                        left = at
-                        while left and text[left - 1] in _NAMED and at - left < 60:
-                            left -= 1
-                        if left not in names:
-                            names.add(left)
-                            found.update(self._assigned(text, left, end + 1))
-                    elif what == "token":
-                        found.update(self._token(text, at, p))
-                    elif what == "armor":
-                        found.update(self._armor(text, at))
-                    elif what == "url":
-                        found.update(self._url(text, at))
+                        if not name[0] <= at < name[1]:
+                            name = self._run(text, at, end + 1)
+                        if name[0] not in names:
+                            names.add(name[0])
+                            found.update(self._assigned(text, *name))
+                    elif what == "format":
+                        if text.startswith(p, at):
+                            found.update(self._formatted(text, at, p))
                     else:
                         m = _COMMANDS[p].match(text, at)
                         if m and (at == 0 or not text[at - 1].isalnum()):
                             found.update(self._value(text, m.end(), 2, False))
         for m in _ENCODED.finditer(text):
             said = decoded_text(m.group())
-            if said and self.spans(said):
+            if said and (self.spans(said) or self._pair(said)):
                 found.add(m.span())
         out: list[tuple[int, int]] = []
         for a, z in sorted(found):
@@ -260,36 +265,50 @@ class SecretScanner:
         return out
 
     # -- grammars ------------------------------------------------------------------
-    def _token(self, text: str, at: int, prefix: str) -> Iterator[tuple[int, int]]:
-        if at and (text[at - 1].isalnum() or text[at - 1] in "_+/" or (text[at - 1] == "-" and prefix.startswith("sk"))):
+    def _pair(self, said: str) -> bool:
+        """Whether a decoded text is a user with a password, as in basic authorization."""
+        m = re.fullmatch(r"[A-Za-z][\w.@+-]*:(\S+)", said)
+        return bool(m and re.search(r"\d", m.group(1)) and re.search(r"[A-Za-z]", m.group(1)) and gives_access(m.group(1), 2, False))
+
+    def _run(self, text: str, at: int, end: int) -> tuple[int, int]:
+        """The name around a place of a name's word: letters, digits, dots and dashes."""
+        left = at
+        while left:
+            back = max(0, left - 64)
+            stops = [m.end() for m in _NOT_NAMED.finditer(text, back, left)]
+            if stops:
+                left = stops[-1]
+                break
+            left = back
+        return left, _NAMED.match(text, end).end()
+
+    def _formatted(self, text: str, at: int, prefix: str) -> Iterator[tuple[int, int]]:
+        """What the automaton reads from the beginning of a format on."""
+        if prefix in _FORMATS and at and (text[at - 1].isalnum() or text[at - 1] in "_+/" or (text[at - 1] == "-" and prefix.startswith("sk"))):
             if not (at > 1 and text[at - 2 : at] in ("\\n", "\\t", "\\r")):
                 return
-        m = _TOKENS[prefix].match(text, at)
-        if m and not re.search(r"x{6}|\*{3}|\.{3}|(?i:example|redacted|your)", m.group()) and entropy(m.group()[len(prefix) :]) > 2.5:
-            yield m.span()
-
-    def _armor(self, text: str, at: int) -> Iterator[tuple[int, int]]:
-        m = _ARMOR.match(text, at)
-        if m:
-            end = _ARMOR_END.search(text, m.end())
-            a = m.end()
-            if end and _ARMOR_BODY.fullmatch(text, a, end.start()):
-                z = end.start()
-            else:  # cut off: the armored lines that follow
-                more = re.compile(r"(?:\\n|[\sA-Za-z0-9+/=:,-])*").match(text, m.end())
-                z = more.end()
+        ends = self.formats.run(text, at + len(prefix), self.after[prefix], "closed")
+        if not ends:
+            return
+        if prefix == "://":
+            z = ends["connection"] - 2
+            password = text[text.index(":", at + 3, z) + 1 : z]
+            if len(password) >= 3 and not _REFERENCE.fullmatch(password) and "***" not in password and password.lower() not in ("password", "pass", "pwd", "secret", "token"):
+                yield z - len(password), z
+        elif prefix == "-----BEGIN ":
+            a = ends["armor"]
+            z = text.rindex("-----END ", a, ends["closed"]) if "closed" in ends else ends["open"]
             if len(re.sub(r"\\[nr]|[^A-Za-z0-9+/=]", "", text[a:z])) >= 16:
                 yield a, z
+        else:
+            label = max(ends, key=ends.get)
+            z = ends[label]
+            if label in WHOLE and text[z : z + 1].isalnum() and text[z].isascii():
+                return
+            if not _NO_TOKEN.search(text, at, z) and entropy(text[at + len(label) : z]) > 2.5:
+                yield at, z
 
-    def _url(self, text: str, at: int) -> Iterator[tuple[int, int]]:
-        m = _URL.match(text, at)
-        if m and len(m.group(2)) >= 3 and not _REFERENCE.fullmatch(m.group(2)) and "***" not in m.group(2) and m.group(2).lower() not in ("password", "pass", "pwd", "secret", "token"):
-            yield m.span(2)
-
-    def _assigned(self, text: str, left: int, end: int) -> Iterator[tuple[int, int]]:
-        right = end
-        while right < len(text) and text[right] in _NAMED and right - end < 60:
-            right += 1
+    def _assigned(self, text: str, left: int, right: int) -> Iterator[tuple[int, int]]:
         name = text[left:right]
         if name.endswith(".") or name.endswith("-"):
             right -= 1
@@ -302,9 +321,14 @@ class SecretScanner:
             return
         strength = strength_of(name)
         if strength == 2 and text[left - 1 : left] == " ":
-            told = _AS.search(text, max(0, left - 240), left)
-            if told and gives_access(told.group(1).rstrip(".,"), 2, False) and re.search(r"\d|[^\w.-]", told.group(1)):
-                yield told.start(1), told.start(1) + len(told.group(1).rstrip(".,"))
+            told = _AS.search(text, max(0, left - 12), left)
+            if told:
+                a = told.start()
+                while a and text[a - 1] not in _SPACED:
+                    a -= 1
+                v = text[a : told.start()].rstrip(".,")
+                if gives_access(v, 2, False) and re.search(r"\d|[^\w.-]", v):
+                    yield a, a + len(v)
         tail = name.rsplit(".", 1)[-1].rsplit("_-", 1)[-1]
         if not strength and tail != name:
             strength = strength_of(tail)
@@ -372,7 +396,7 @@ class SecretScanner:
 
     def _said(self, text: str, at: int, strength: int) -> Iterator[tuple[int, int]]:
         """A value in prose: quoted, or a bare one that is no word."""
-        m = re.compile(r"[\"'`]?([^\s\"'`<>]{5,200})").match(text, at)
+        m = re.compile(r"[\"'`]?([^\s\"'`<>]{5,})").match(text, at)
         if m:
             v = m.group(1).rstrip(".,;:)")
             if re.search(r"[A-Za-z]", v) and gives_access(v, strength, False) and not re.fullmatch(r"[\w./-]+/[\w./-]*|\w+\(\)|[A-Za-z]+['’][a-z]+", v):
@@ -404,8 +428,10 @@ class SecretScanner:
             return
         v = m.group()
         z = m.end()
-        if "&" in v and ("?" in text[max(0, at - 200) : at] or "://" in text[max(0, at - 200) : at]):
-            z = at + v.index("&")
+        if "&" in v:
+            begin = 1 + max(text.rfind(c, 0, at) for c in " \t\n\r")
+            if text.find("?", begin, at) >= 0 or text.find("://", begin, at) >= 0:
+                z = at + v.index("&")
         while z > at and text[z - 1] in ".:,":
             z -= 1
         v = text[at:z]

@@ -123,3 +123,46 @@ def test_encoded_secrets():
             assert found(f"config: {v}\nnext") == [v]
     for said in ("just a sentence about nothing at all", "password: ${DB_PASSWORD}", "max_tokens=4096 and more of it"):
         assert not found("config: " + base64.b64encode(said.encode()).decode())
+    for pair in (f"deploy:{RANDOM}", "bot@x.example:s3cr3t-Pa55"):
+        v = base64.b64encode(pair.encode()).decode()
+        assert found(f'{{"auths": {{"registry.example": {{"x": "{v}"}}}}}}') == [v]
+    for pair in ("image:latest", "a sentence: with words", "key:"):
+        assert not found("x " + base64.b64encode((pair + " " * 9).encode()).decode())
+
+
+@pytest.mark.parametrize("n", [10, 500, 20_000])
+def test_nothing_is_too_far_away(n):
+    options = "--header x " * n
+    for text in (f"curl {options} -u user:{RANDOM} https://x", f"docker login {options} -p {RANDOM} h", f"mysql {options} -p{RANDOM} db", f"redis-cli {options} -a {RANDOM} get x"):
+        assert found(text) == [RANDOM]
+    user = "u" * n
+    assert found(f"postgres://{user}:{RANDOM}@db.example/x") == [RANDOM]
+    assert found(f"{'a.' * n}password={RANDOM} x") == [RANDOM]
+    assert found(f"log in as u with {RANDOM * (n // 20 + 1)} as the passphrase") == [RANDOM * (n // 20 + 1)]
+    body = (RANDOM * 3 + "\n") * n
+    for end in ("-----END RSA PRIVATE KEY-----", ""):
+        t = f"before -----BEGIN RSA PRIVATE KEY-----\n{body}{end}"
+        assert RANDOM not in S.redact(t, S.scanner().spans(t))
+    # many beginnings in one line take no more than linear time
+    assert found("curl password key token " * n) == []
+
+
+def test_automaton_against_single_expressions():
+    import random
+    import re
+
+    from strandline.llm.automaton import Automaton
+
+    grammars = [("x", r"ab{2,4}c"), ("y", r"(?:a|b)+[0-9]{3,}"), ("z", r"q(?:[A-Z]+ )*K(?: B)?-"), ("w", r"[^a-q\s]\w*é?")]
+    machine, rnd = Automaton(grammars), random.Random(1)
+    for _ in range(4000):
+        text = "".join(rnd.choice("abc01qAK B-é") for _ in range(12))
+        ends = {label: [k for k in range(13) if re.fullmatch(p, text[:k])] for label, p in grammars}
+        assert machine.run(text, 0) == {label: max(e) for label, e in ends.items() if e}
+        for label, e in ends.items():
+            if e:
+                assert machine.run(text, 0, stop=label)[label] == min(e)
+        k = rnd.randrange(4)
+        if machine.state_after(text[:k]) >= 0:
+            late = {label: max(x for x in e if x > k) for label, e in ends.items() if any(x > k for x in e)}
+            assert machine.run(text, k, machine.state_after(text[:k])) == late
