@@ -22,6 +22,8 @@ Arrow batch before they are shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,16 +56,26 @@ MARGIN_UTF8, MARGIN_OTHER, MARGIN_CHAR = 2.5, 14.0, 1.5
 BEST_CHAR = 1.0
 #: Part of a conditional probability that is the marginal's; least probability.
 MIXED, LEAST = 0.01, 2e-7
-TIMES = 3
 
 # --- fixed values: names of encodings ----------------------------------------------
 #: Encodings by which text was wrongly read, and those in which it may have been written.
 WRONG = ["cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "iso8859-2", "iso8859-15", "cp866", "koi8-r", "gb18030", "cp932", "euc_jp", "big5", "cp949", "cp1254", "cp1253", "cp852", "iso8859-5", "iso8859-9", "cp1257", "mac_cyrillic", "mac_latin2", "koi8-u", "cp1255", "cp1256", "cp874"]
 RIGHT = ["utf-8", "cp1252", "cp1250", "cp1251", "koi8-r", "cp866", "iso8859-2", "iso8859-5", "mac_roman", "mac_cyrillic", "mac_latin2", "cp437", "cp850", "cp852", "cp932", "euc_jp", "gb18030", "big5", "cp949", "cp1253"]
 # ------------------------------------------------------------------------------------
+#: Those of them in which every byte is a character.
+SINGLE = frozenset(RIGHT) - {"utf-8", "cp932", "euc_jp", "gb18030", "big5", "cp949"}
+
+#: Encodings that make one character of several bytes; those in which such a byte never
+#: stands alone.
+WIDE = frozenset(["gb18030", "cp932", "euc_jp", "big5", "cp949"])
+TAILED = frozenset(["utf-8", "euc_jp"])
+#: Those in which it never stands alone before a blank or a mark.
+PAIRED = frozenset(["gb18030", "big5", "cp949"])
 
 _FAR = re.compile("[^\x00-\x7f]")
+_ALONE = re.compile("(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
 _CLUSTER = re.compile("[^\x00-\x7f]+")
+_DANGLING = re.compile("(?<![^\x00-\x7f])[^\x00-\x7f](?=[\x00-\x2f\x3a-\x3f]|\\Z)")
 _C1 = re.compile("[\x80-\x9f]")
 
 
@@ -74,7 +86,7 @@ def to_bytes(text: str, encoding: str) -> bytes | None:
         return text.encode(encoding)
     except UnicodeError:
         pass
-    if encoding not in ("latin-1", "gb18030", "cp932", "euc_jp", "big5", "cp949") and _C1.search(text):
+    if encoding != "latin-1" and encoding not in WIDE and _C1.search(text):
         try:
             return b"".join(bytes([ord(c)]) if "\x80" <= c <= "\x9f" else c.encode(encoding) for c in text)
         except UnicodeError:
@@ -117,6 +129,8 @@ class PairModel:
         #: Characters that are not too rare to be what a garbled one was.
         self.common = frozenset(map(chr, at[p_char[at] > LEAST].tolist()))
         self.given = np.log(np.maximum((1 - MIXED) * table / rows + MIXED * in_class, LEAST)).astype(np.float16)
+        #: The most that a character of a class can score, whatever stands before it.
+        self.best = self.given.max(axis=0).astype(np.float32)
 
     def scores(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(I(a;b) + ln P(b) of every adjacent pair, code points)."""
@@ -124,27 +138,24 @@ class PairModel:
         k = self.code[c]
         return self.given[k[:-1], k[1:]].astype(np.float32) + self.within[c[1:]], c
 
-    def expectedness(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Scores in which mutual information lifts a pair by ``LIFT`` at most."""
-        s, c = self.scores(text)
-        return np.minimum(s, self.marginal[c[1:]] + LIFT), c
-
     def log_probability(self, text: str) -> float:
         return float(self.scores(text)[0].sum()) if len(text) > 1 else 0.0
 
 
-def segments(score: np.ndarray) -> list[tuple[int, int]]:
-    """All maximal scoring segments [i, j) of a sequence of scores (Ruzzo and Tompa),
-    from its runs of positive scores."""
-    pos = score > 0
-    if not pos.any():
-        return []
-    edge = np.flatnonzero(np.diff(np.r_[False, pos, False].astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    total = np.r_[0.0, np.cumsum(score, dtype=np.float64)]
-    stack: list[list] = []  # [start, end, total before, total after]
-    for i, j in zip(starts.tolist(), ends.tolist()):
-        now = [i, j, total[i], total[j]]
+def segments(score: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring segments [i, j) of a sequence of scores (Ruzzo and Tompa)."""
+    stack: list[tuple[int, int, float, float]] = []  # start, end, total before, total after
+    total, i, n = 0.0, 0, len(score)
+    while i < n:
+        if score[i] <= 0:
+            total += score[i]
+            i += 1
+            continue
+        begin, before = i, total
+        while i < n and score[i] > 0:
+            total += score[i]
+            i += 1
+        now = (begin, i, before, total)
         while True:
             k = len(stack) - 1
             while k >= 0 and stack[k][2] >= now[2]:
@@ -152,49 +163,171 @@ def segments(score: np.ndarray) -> list[tuple[int, int]]:
             if k < 0 or stack[k][3] >= now[3]:
                 stack.append(now)
                 break
-            now = [stack[k][0], now[1], stack[k][2], now[3]]
+            now = (stack[k][0], now[1], stack[k][2], now[3])
             del stack[k:]
-    return [(s[0], s[1]) for s in stack]
+    return [s[:2] for s in stack]
 
 
 class Restorer:
     def __init__(self, model: PairModel):
         self.model = model
         self.memo: dict[tuple[str, str, str, bool], tuple[str, float] | None] = {}
-
-    def improbable(self, text: str) -> list[tuple[int, int, float]]:
-        """(begin, end, total score) of the improbable runs."""
-        if len(text) < 2:
+        self.readings: dict[int, int] = {}
+        self.ways: dict[str, int] = {}
+        self.reaches: dict[str, np.ndarray] = {}
+        self.ways_of: dict[frozenset[str], list[tuple[str, list[str]]]] = {}
+
+    def _ways_of_byte(self, byte: int) -> int:
+        """A bit for each of ``RIGHT`` in which a byte can stand: in ``SINGLE`` ones it must
+        say a character that is common."""
+        got = self.readings.get(byte)
+        if got is None:
+            got = 0
+            for k, right in enumerate(RIGHT):
+                said = from_bytes(bytes([byte]), right) if right in SINGLE else ""
+                if said is not None and self.model.common.issuperset(said):
+                    got |= 1 << k
+            self.readings[byte] = got
+        return got
+
+    def _ways_of_char(self, c: str) -> int:
+        """The mappings that a character can have gone through: for each of ``WRONG`` as many
+        bits as ``RIGHT`` has encodings."""
+        got = self.ways.get(c)
+        if got is None:
+            got = 0
+            for k, wrong in enumerate(WRONG):
+                data = to_bytes(c, wrong)
+                if data is not None:
+                    ways = (1 << len(RIGHT)) - 1
+                    for byte in data:
+                        ways &= self._ways_of_byte(byte)
+                    if wrong in RIGHT:
+                        ways &= ~(1 << RIGHT.index(wrong))
+                    got |= ways << k * len(RIGHT)
+            self.ways[c] = got
+        return got
+
+    def _reach_of_char(self, c: str) -> np.ndarray:
+        """By (wrong, right): the most that the character can score that ``c`` was, where both
+        encodings are ``SINGLE``; 0 for others."""
+        got = self.reaches.get(c)
+        if got is None:
+            got = self.reaches[c] = np.zeros((len(WRONG), len(RIGHT)), dtype=np.float32)
+            for k, wrong in enumerate(WRONG):
+                data = to_bytes(c, wrong) if wrong not in WIDE else None
+                if data is not None:
+                    for j, right in enumerate(RIGHT):
+                        said = from_bytes(data, right) if right in SINGLE else None
+                        if said:
+                            at = ord(said)
+                            got[k, j] = self.model.best[self.model.code[at]] + self.model.within[at]
+        return got
+
+    def reach(self, run: str) -> np.ndarray:
+        """By (wrong, right): the most that the characters beyond ASCII of a reading score."""
+        return sum(n * self._reach_of_char(c) for c, n in Counter(_FAR.findall(run)).items())
+
+    def mappings(self, run: str) -> list[tuple[str, list[str]]]:
+        """(right, wrongs) of the mappings that none of a run's characters rules out."""
+        chars = frozenset(_FAR.findall(run))
+        if not chars:
             return []
-        s, c = self.model.expectedness(text)
+        got = self.ways_of.get(chars)
+        if got is None:
+            ways = (1 << len(RIGHT) * len(WRONG)) - 1
+            for c in chars:
+                ways &= self._ways_of_char(c)
+                if not ways:
+                    break
+            by_right: dict[int, list[str]] = {}
+            for wrong in WRONG:
+                here, k = ways & (1 << len(RIGHT)) - 1, 0
+                ways >>= len(RIGHT)
+                while here:
+                    if here & 1:
+                        by_right.setdefault(k, []).append(wrong)
+                    here >>= 1
+                    k += 1
+            got = [(RIGHT[k], by_right[k]) for k in sorted(by_right)]
+            if len(self.ways_of) > 100_000:
+                self.ways_of.clear()
+            self.ways_of[chars] = got
+        return got
+
+    def scored(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, int, float]], np.ndarray]]:
+        """(index, improbable runs, log-probability before each place: of all pairs and of
+        those beyond ASCII) of every text that has such runs; a run is (begin, end, total score). Whole lists are scored in one pass."""
+        big = "\n".join(["", *texts, ""])
+        s, c = self.model.scores(big)
+        e = np.minimum(s, self.model.marginal[c[1:]] + LIFT)
         far = (c[:-1] > 127) | (c[1:] > 127)
-        rare = far & (s < RARE)
-        if not rare.any():
-            return []
-        score = np.where(far, np.clip(EXPECTED - s, -ORDINARY, 6.0), -ORDINARY)
-        upto, total = np.r_[0, np.cumsum(rare)], np.r_[0.0, np.cumsum(score)]
-        return [(i, j + 1, float(total[j] - total[i])) for i, j in segments(score) if upto[j] > upto[i]]
+        rare = np.flatnonzero(far & (e < RARE))
+        begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
+        score = np.where(far, np.clip(EXPECTED - e, -ORDINARY, 6.0), -ORDINARY)
+        before = np.zeros((len(s) + 1, 2))
+        np.cumsum(s, dtype=np.float64, out=before[1:, 0])
+        np.cumsum(s * far, dtype=np.float64, out=before[1:, 1])
+        for k in np.unique(np.searchsorted(begins, rare, "right") - 1).tolist():
+            if 0 <= k < len(texts) and len(texts[k]) > 1:
+                at, n = int(begins[k]), len(texts[k])
+                mine = rare[np.searchsorted(rare, at) : np.searchsorted(rare, at + n - 1)] - at
+                if len(mine):
+                    here = score[at : at + n - 1]
+                    total = np.zeros(n)
+                    np.cumsum(here, out=total[1:])
+                    # no segment goes on over a new least total: what lies between two is done alone
+                    least = np.flatnonzero(total == np.minimum.accumulate(total))
+                    block = np.unique(np.searchsorted(least, mine, "right"))
+                    least, mine, runs = [*least.tolist(), n - 1], mine.tolist(), []
+                    for b in block.tolist():
+                        a = least[b - 1]
+                        for i, j in segments(here[a : least[b]].tolist()):
+                            if bisect_left(mine, a + j) > bisect_left(mine, a + i):
+                                runs.append((a + i, a + j + 1, float(total[a + j] - total[a + i])))
+                    yield k, runs, before[at - 1 : at + n + 1]
+
+    def improbable(self, text: str) -> list[tuple[int, int, float]]:
+        """(begin, end, total score) of the improbable runs of one text."""
+        return next((runs for _, runs, _ in self.scored([text])), [])
 
-    def inverse(self, before: str, run: str, after: str, only_utf8: bool = False) -> tuple[str, float] | None:
-        """The best reading of ``run`` between two characters, and its gain."""
+    def inverse(self, before: str, run: str, after: str, only_utf8: bool = False, was: tuple[float, float] | None = None) -> tuple[str, float] | None:
+        """The best reading of ``run`` between two characters, and its gain; ``was`` is the
+        log-probability of all of it, and of its pairs beyond ASCII."""
         key = (before, run, after, only_utf8)
         if key in self.memo:
             return self.memo[key]
+        mappings = self.mappings(run)
+        if not mappings or only_utf8 and mappings[0][0] != "utf-8":
+            return None
         best: tuple[str, float] | None = None
-        was = self.model.log_probability(before + run + after)
+        if was is None:
+            pairs, c = self.model.scores(before + run + after)
+            was = float(pairs.sum()), float(pairs[(c[:-1] > 127) | (c[1:] > 127)].sum())
+        was, was_far = was
         room = -was - BEST_CHAR * (len(run) // 3)  # no reading gains more
-        if room >= MARGIN_UTF8 and _FAR.search(run):
+        if room >= MARGIN_UTF8:
             common, n = self.model.common, len(run)
             tried: set[str] = {run}
-            data = {d: w for w in reversed(WRONG) if (d := to_bytes(run, w)) is not None}
-            rights = RIGHT if not only_utf8 and -was - BEST_CHAR * n >= MARGIN_OTHER else RIGHT[:1]
-            for right in rights:
-                if right != "utf-8" and best:
+            others = not only_utf8 and -was - BEST_CHAR * n >= MARGIN_OTHER
+            bounds, bytes_of = None, {}
+            alone, dangling = bool(_ALONE.search(run)), bool(_DANGLING.search(run))
+            for right, wrongs in mappings:
+                if right != "utf-8" and (best or not others):
                     break  # valid UTF-8 that fits is seldom an accident
-                for d, wrong in data.items():
-                    if right == wrong:
-                        continue
-                    said = from_bytes(d, right)
+                if right in SINGLE:
+                    if bounds is None:  # what these change are pairs beyond ASCII only
+                        bounds = self.reach(run) - was_far + 0.01 * n
+                    j = RIGHT.index(right)
+                    wrongs = [w for w in wrongs if w in WIDE or bounds[WRONG.index(w), j] >= MARGIN_OTHER]
+                broken = alone and right in TAILED or dangling and right in PAIRED
+                for wrong in wrongs:
+                    if broken and wrong not in WIDE:
+                        continue  # a byte from U+0080 on that stands so is no character there
+                    if wrong not in bytes_of:
+                        bytes_of[wrong] = to_bytes(run, wrong)
+                    d = bytes_of[wrong]
+                    said = from_bytes(d, right) if d is not None else None
                     if said is None or said in tried:
                         continue
                     tried.add(said)
@@ -233,9 +366,9 @@ class Restorer:
             j += 1
         out.append((i, j))
         i, j = a, z
-        while i > 0 and not text[i - 1].isspace() and a - i < 400:
+        while i > 0 and not text[i - 1].isspace() and a - i < STRETCH:
             i -= 1
-        while j < len(text) and not text[j].isspace() and j - z < 400:
+        while j < len(text) and not text[j].isspace() and j - z < STRETCH:
             j += 1
         out.append((i, j))
         if score >= LINE_SCORE:
@@ -252,10 +385,9 @@ class Restorer:
                     out.append((max(b, floor), min(j, blank if blank >= 0 else e)))
         return list(dict.fromkeys(out))
 
-    def once(self, text: str) -> tuple[str, int]:
+    def once(self, text: str, runs: list[tuple[int, int, float]], before: np.ndarray) -> tuple[str, int]:
         """Every improbable run read anew where that is better; how many were."""
         out, at, n = [], 0, 0
-        runs = self.improbable(text)
         of_line: dict[int, float] = {}
         vain: set[tuple[int, int]] = set()  # long spans that have no better reading
         for a, _, score in runs:
@@ -270,7 +402,7 @@ class Restorer:
             for i, j in self._spans(text, a, z, score, at):
                 if i < at or j <= i or (i, j) in vain:
                     continue
-                got = self.inverse(text[i - 1 : i] if i else "\n", text[i:j], text[j : j + 1] or "\n")
+                got = self.inverse(text[i - 1 : i] if i else "\n", text[i:j], text[j : j + 1] or "\n", was=tuple((before[j + 1] - before[i]).tolist()))
                 if not got and j - i > STRETCH // 2:
                     vain.add((i, j))
                 if got and (best is None or got[1] > best[3] + 1.0):
@@ -282,10 +414,10 @@ class Restorer:
                     i -= 1
                 for m in _CLUSTER.finditer(text, i, z + 1):
                     i, j = m.span()
-                    before = text[i - 1 : i] if i else "\n"
-                    got = self.inverse(before, m.group(), text[j : j + 1] or "\n", True)
+                    left = text[i - 1 : i] if i else "\n"
+                    got = self.inverse(left, m.group(), text[j : j + 1] or "\n", True)
                     if not got and text[j : j + 1] == " ":
-                        got = self.inverse(before, m.group() + "\xa0", text[j + 1 : j + 2] or "\n", True)
+                        got = self.inverse(left, m.group() + "\xa0", text[j + 1 : j + 2] or "\n", True)
                         j += bool(got)
                     if got:
                         found.append((i, j, got[0], got[1]))
@@ -297,14 +429,41 @@ class Restorer:
 
     def restore(self, text: str) -> tuple[str, int, int]:
         """(restored text, passages restored, passages that can't be)."""
-        passages = 0
-        for _ in range(TIMES):
-            text, n = self.once(text)
-            if not n:
-                break
-            passages = max(passages, n)
-        lost = sum(1 for m in re.finditer("�+", text) if m.end() - m.start() > 1 or text[max(0, m.start() - 1) : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha())
-        return text, passages, lost if lost or text.count("�") < 2 else 1
+        return next((got for _, got in self.restore_all([text])), (text, 0, 0))
+
+    def restore_all(self, texts: list[str | None]) -> Iterator[tuple[int, tuple[str, int, int]]]:
+        """(index, what ``restore`` says) of every affected text, in order. What was changed
+        is read again until nothing changes, for text that was garbled more than once."""
+        who = [k for k, t in enumerate(texts) if t and not t.isascii()]
+        now = {k: texts[k] for k in who if "\ufffd" in texts[k]}
+        passages: dict[int, int] = {}
+        for at in range(0, len(who), 256):
+            todo = who[at : at + 256]
+            seen: dict[int, set[str]] = {}
+            while todo:
+                given, again = [now.get(k, texts[k]) for k in todo], []
+                for i, runs, before in self.scored(given):
+                    k = todo[i]
+                    new, n = self.once(given[i], runs, before)
+                    if n:
+                        now[k] = new
+                        passages[k] = max(passages.get(k, 0), n)
+                        if new not in seen.setdefault(k, {given[i]}):
+                            seen[k].add(new)
+                            again.append(k)
+                todo = again
+        for k in sorted(now):
+            lost = self.lost(now[k])
+            if lost or k in passages:
+                yield k, (now[k], passages.get(k, 0), lost)
+
+    @staticmethod
+    def lost(text: str) -> int:
+        """Passages whose characters are gone: replacement characters at a letter or in a row."""
+        if "\ufffd" not in text:
+            return 0
+        n = sum(1 for m in re.finditer("\ufffd+", text) if m.end() - m.start() > 1 or text[max(0, m.start() - 1) : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha())
+        return n if n or text.count("\ufffd") < 2 else 1
 
 
 def _count_chars(docs: DataFrame, text: str) -> DataFrame:
@@ -369,12 +528,7 @@ def restore_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             _RESTORERS[:] = [Restorer(sent.value)]
         restorer = _RESTORERS[0]
         for b in batches:
-            out = []
-            for at, t in enumerate(b.column(1).to_pylist()):
-                if t and not t.isascii():
-                    new, passages, lost = restorer.restore(t)
-                    if passages or lost:
-                        out.append((at, clean(new), passages, lost))
+            out = [(at, clean(new), passages, lost) for at, (new, passages, lost) in restorer.restore_all(b.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32())], ["k", "restored_text", "passages", "lost"])
 
     return rows.where("t is not null").mapInArrow(run, f"k {kind}, restored_text string, passages int, lost int").withColumnRenamed("k", key)

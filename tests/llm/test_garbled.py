@@ -80,7 +80,7 @@ def test_segments_against_brute_force():
                 cover(j, hi)
 
         cover(0, len(s))
-        assert G.segments(s) == sorted(want)
+        assert G.segments(s.tolist()) == sorted(want)
 
 
 def test_lines_of_any_length(spark, corpus):
@@ -94,3 +94,24 @@ def test_lines_of_any_length(spark, corpus):
     for before, after in ((1, 1), (20, 20), (44, 45), (100, 0), (0, 100), (2000, 2000)):
         got = restorer.restore(f"{filler * before}{bad} {filler * after}")
         assert got[0] == f"{filler * before}{good} {filler * after}", (before, after, got[1:])
+
+
+def test_lists_and_single_texts_say_the_same(restorer, corpus):
+    texts = [None, "", *corpus[:400], CLEAN[0].encode().decode("latin-1"), "plain", CLEAN[1].encode().decode("cp437"), "x", "é", "ab � cd", "ab\ufffdcd", "�", None]
+    got = dict(restorer.restore_all(texts))
+    assert {k: restorer.restore(t) for k, t in enumerate(texts) if t and restorer.restore(t) != (t, 0, 0)} == got
+
+
+def test_ways_that_are_ruled_out_would_not_do(restorer):
+    """No mapping that a character rules out gives a reading of common characters."""
+    for run in ["dziœ", "Ã©tÃ©", "ďťż", "Ð¿Ñ€Ð¸", "ä½ å¥½", "³ód", "Œuvre—", "żółć"]:
+        left = {(w, r) for r, ws in restorer.mappings(run) for w in ws}
+        for wrong in G.WRONG:
+            for right in G.SINGLE - {wrong}:
+                data = G.to_bytes(run, wrong)
+                said = G.from_bytes(data, right) if data is not None else None
+                if said is not None and restorer.model.common.issuperset(said):
+                    assert (wrong, right) in left
+                    if wrong not in G.WIDE:
+                        far = sum(float(s) for s, (a, b) in zip(restorer.model.scores(said)[0], zip(said, said[1:])) if b > "\x7f")
+                        assert far <= restorer.reach(run)[G.WRONG.index(wrong), G.RIGHT.index(right)] + 0.01 * len(run) + (12 if said[0] > "\x7f" else 0)
