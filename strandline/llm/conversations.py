@@ -5,12 +5,13 @@
    fact are merged by one aggregation, whose result is cut; all later steps read
    that.
 2. Messages that carry no session id get one from the graph of reply and quote
-   links (tool_use id to tool_use_id): its connected components, found by
-   alternating large-star and small-star joins, are the conversations.
+   links (tool_use id to tool_use_id, parentUuid to uuid): its connected components,
+   found by alternating large-star and small-star joins, are the conversations.
+   ``linked_conversations`` does that for all messages, whatever ids they carry.
 3. Order is checked without ever holding a conversation in one task: prompts and
    replies are range-partitioned by (conversation, instant, line), each Arrow batch
    yields one segment summary per conversation in it (first kind, last kind, broken
-   inside), and the short list of segments decides. A conversation of any size is
+   inside), and each segment and the next one of its conversation decide. A conversation of any size is
    spread over as many tasks as its rows need.
 4. Tool links are aggregates over (conversation, tool id), everything else over the
    conversation; all of them combine on the map side.
@@ -22,7 +23,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.session import cut
@@ -31,7 +32,7 @@ from .components import connected_components
 from .loglines import clean, decode, instant, slices
 
 #: Kinds of facts.
-SEEN, MESSAGE, CALL, RESULT = 0, 1, 2, 3
+SEEN, MESSAGE, CALL, RESULT, NAMED = 0, 1, 2, 3, 4
 #: Kinds of messages: with text of the user, of the assistant, without text.
 OTHER, PROMPT, REPLY = 0, 1, 2
 FACTS = "sid string, own long, fact int, sub string, instant long, line_no long, line_id long, kind int, bad boolean"
@@ -45,8 +46,9 @@ def _kind(role: object, content: object) -> int:
     return (PROMPT if role == "user" else REPLY if role == "assistant" else OTHER) if text else OTHER
 
 
-def message_facts(lines: DataFrame) -> DataFrame:
-    """Facts of claude-code lines. ``own`` is the line's id where it has no session id."""
+def message_facts(lines: DataFrame, sessions: bool = True) -> DataFrame:
+    """Facts of claude-code lines. ``own`` is the line's id where it has no session id;
+    without ``sessions`` none has."""
     import pyarrow as pa
 
     kinds = [("sid", pa.string()), ("own", pa.int64()), ("fact", pa.int32()), ("sub", pa.string()), ("instant", pa.int64()), ("line_no", pa.int64()), ("line_id", pa.int64()), ("kind", pa.int32()), ("bad", pa.bool_())]
@@ -62,7 +64,7 @@ def message_facts(lines: DataFrame) -> DataFrame:
                     if o is None:
                         continue
                     sid = o.get("sessionId")
-                    sid = clean(sid) if isinstance(sid, str) and sid else None
+                    sid = clean(sid) if sessions and isinstance(sid, str) and sid else None
                     own = None if sid else line_id
                     if sid and sid not in seen:
                         seen.add(sid)
@@ -73,6 +75,9 @@ def message_facts(lines: DataFrame) -> DataFrame:
                     role, content, at = m.get("role"), m.get("content"), instant(o.get("timestamp"))
                     whose = hashlib.md5(json.dumps([role, content], sort_keys=True).encode()).hexdigest()[:24]
                     out.append((sid, own, MESSAGE, whose, at, line_no, line_id, _kind(role, content), at is None or role not in ("user", "assistant")))
+                    for name in (o.get("uuid"), o.get("parentUuid")):
+                        if isinstance(name, str) and name:
+                            out.append((sid, own, NAMED, clean(name), at, line_no, line_id, None, False))
                     for c in content if isinstance(content, list) else ():
                         if isinstance(c, dict) and c.get("type") in ("tool_use", "tool_result"):
                             call = c["type"] == "tool_use"
@@ -86,27 +91,29 @@ def message_facts(lines: DataFrame) -> DataFrame:
 
 def _named(facts: DataFrame) -> DataFrame:
     """Facts with ``conv``: the session id, or for messages without one the session (or
-    else the least line) of their component over tool links."""
+    else the least line) of their component over reply and quote links."""
     known = facts.where("sid is not null").withColumn("conv", F.concat(F.lit("s:"), "sid"))
     lost = facts.where("sid is null")
     if lost.isEmpty():
         return known
-    links = lost.where(F.col("fact").isin(CALL, RESULT) & F.col("sub").isNotNull()).select("sub").distinct()
-    node = F.when(F.col("sid").isNull(), F.concat(F.lit("x:"), F.lpad(F.col("own").cast("string"), 20, "0"))).otherwise(F.concat(F.lit("s:"), "sid"))
-    # one vertex for each tool id, so that copies of an id don't make pairs
-    ends = facts.where(F.col("fact").isin(CALL, RESULT) & F.col("sub").isNotNull()).join(links, "sub").select(node.alias("a"), F.concat(F.lit("t:"), "sub").alias("b")).distinct()
+    # one vertex for each tool id and line name, so that copies of an id don't make pairs
+    linked = F.col("fact").isin(CALL, RESULT, NAMED) & F.col("sub").isNotNull()
+    link = F.concat(F.when(F.col("fact") == NAMED, "u:").otherwise("t:"), F.col("sub"))
+    own = F.concat(F.lit("x:"), F.lpad(F.col("own").cast("string"), 20, "0"))
+    links = lost.where(linked).select(link.alias("b")).distinct()
+    node = F.when(F.col("sid").isNull(), own).otherwise(F.concat(F.lit("s:"), "sid"))
+    ends = facts.where(linked).select(node.alias("a"), link.alias("b")).join(links.hint("merge"), "b").select("a", "b").distinct()
     found = connected_components(ends).where("vertex like 'x:%' or vertex like 's:%'")
     # a component is named by its least session, or by its least line if it has none
     named = found.groupBy("component").agg(F.min("vertex").alias("conv"))
-    of = found.join(named, "component").where("vertex like 'x:%'").select("vertex", "conv")
-    own = F.concat(F.lit("x:"), F.lpad(F.col("own").cast("string"), 20, "0"))
-    placed = lost.withColumn("vertex", own).join(of, "vertex", "left").withColumn("conv", F.coalesce("conv", "vertex")).drop("vertex")
+    of = found.where("vertex like 'x:%'").join(named.hint("merge"), "component").select("vertex", "conv")
+    placed = lost.withColumn("vertex", own).join(of.hint("merge"), "vertex", "left").withColumn("conv", F.coalesce("conv", "vertex")).drop("vertex")
     return known.unionByName(placed)
 
 
-def merged_facts(lines: DataFrame) -> DataFrame:
+def merged_facts(lines: DataFrame, sessions: bool = True) -> DataFrame:
     """One row for each fact of a conversation, its copies merged; computed once."""
-    facts = message_facts(lines)
+    facts = message_facts(lines, sessions)
     # the copy that stands first; one without a line_no only if there is no other
     first = F.min(F.struct(F.col("line_no").isNull().alias("none"), "line_no", "line_id"))
     merged = facts.groupBy("sid", "own", "fact", "sub", "instant").agg(first.alias("at"), F.max("kind").alias("kind"), F.max("bad").alias("bad"))
@@ -138,9 +145,9 @@ def order_breaks(facts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(first.column(i) for i in range(4)), pa.array(kind[starts], pa.int32()), pa.array(kind[ends - 1], pa.int32()), pa.array(broken)], names)
 
     segments = ordered.mapInArrow(run, "conv string, instant long, line_no long, sub string, first int, last int, broken boolean")
-    per = segments.groupBy("conv").agg(F.max("broken").alias("broken"), F.array_sort(F.collect_list(F.struct("instant", "line_no", "sub", "first", "last"))).alias("s"))
-    gap = F.exists(F.arrays_zip(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))).alias("p"), F.slice("s", 2, F.greatest(F.size("s") - 1, F.lit(0))).alias("q")), lambda z: (z["p"]["last"] == PROMPT) & (z["q"]["first"] == PROMPT))
-    return per.where(F.col("broken") | gap | (F.element_at("s", -1)["last"] == PROMPT)).select("conv")
+    following = Window.partitionBy("conv").orderBy("instant", "line_no", "sub")  # of segments: a row for an Arrow batch
+    ends = segments.withColumn("next", F.lead("first").over(following))
+    return ends.where(F.col("broken") | ((F.col("last") == PROMPT) & F.coalesce(F.col("next") == PROMPT, F.lit(True)))).select("conv")
 
 
 def link_breaks(facts: DataFrame) -> DataFrame:
@@ -245,11 +252,21 @@ def conversations(lines: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(code), part + k)), pa.array(place)], ["conv", "instant", "line_no", "sub", "kind", "line_id", "segment", "place"])
 
     placed = cut(ordered.mapInArrow(run, "conv string, instant long, line_no long, sub string, kind int, line_id long, segment long, place long"))
-    from pyspark.sql import Window
-
     sizes = placed.groupBy("conv", "segment").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("conv", "segment", (F.sum("n").over(Window.partitionBy("conv").orderBy("segment")) - F.col("n")).alias("before"))
     numbered = placed.join(before, ["conv", "segment"]).withColumn("seq", F.col("before") + F.col("place"))
     role = F.when(F.col("kind") == PROMPT, "prompt").when(F.col("kind") == REPLY, "reply").otherwise("tool")
     numbered = numbered.select(F.substring("conv", 3, 1 << 30).alias("conversation_id"), F.col("seq").cast("long").alias("seq"), role.alias("role"), "instant", "line_no", "line_id", F.col("sub").alias("message_hash"))
     return _with_messages(numbered, lines)
+
+
+def linked_conversations(lines: DataFrame) -> DataFrame:
+    """(line_id, conversation_id): every message and the conversation that its links alone
+    put it into, whatever session id it carries; a conversation is named by its least line.
+
+    A message without links is a conversation of its own; invalid, empty and null lines
+    are none; repeated lines share their links; null line_ids are left out; an empty table
+    gives an empty one. Only line_id, line_no, agent and raw_line are read.
+    """
+    facts = merged_facts(lines.where("line_id is not null"), sessions=False)
+    return facts.where(F.col("fact") == MESSAGE).select(F.col("own").alias("line_id"), F.substring("conv", 3, 20).cast("long").alias("conversation_id"))

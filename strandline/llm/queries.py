@@ -21,6 +21,11 @@ def p1_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conversation_id", "seq", c.speaker.alias("role"), "kind", "instant", "line_no", "line_id", "message_hash", "message")
 
 
+def p1_linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as the links alone give them: no session id is looked at."""
+    return conversations.linked_conversations(table(spark, sf_dir, "log_lines"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, sf_dir, "embed_responses"))
 
@@ -66,8 +71,62 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_conversations, p2_found, p2_nearest, p3_found, p3_redacted, p4_found, p4_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_restored)}
+    return {f.__name__: f for f in (p1_found, p1_conversations, p1_linked, p2_found, p2_nearest, p3_found, p3_redacted, p4_found, p4_pieces, p6_ids, p7_mixture, p7_shares, p8_found, p8_restored)}
+
+
+#: The messages of claude-code lines: line_id, line_no, o (the line), m (its message).
+MESSAGE_SQL = """lines AS (
+    SELECT line_id, line_no, CAST(raw_line AS JSON) AS o FROM log_lines WHERE agent = 'claude-code' AND raw_line LIKE '%{%' AND json_valid(raw_line)),
+said AS (SELECT line_id, line_no, o, o->'message' AS m FROM lines WHERE json_type(o) = 'OBJECT' AND json_type(o->'message') = 'OBJECT'),
+blocks AS (
+    SELECT line_id, line_no, o, m, unnest(CAST(m->'content' AS JSON[])) AS b, unnest(range(CAST(json_array_length(m->'content') AS BIGINT))) AS block_no
+    FROM said WHERE json_type(m->'content') = 'ARRAY')"""
+
+P1_LINKED_SQL = f"""WITH RECURSIVE {MESSAGE_SQL},
+ends AS (
+    SELECT DISTINCT line_id, CASE b->>'type' WHEN 'tool_use' THEN b->'id' ELSE b->'tool_use_id' END AS link
+    FROM blocks WHERE json_type(b) = 'OBJECT' AND b->>'type' IN ('tool_use', 'tool_result')
+    UNION SELECT line_id, o->k FROM said, (VALUES ('uuid'), ('parentUuid')) v(k) WHERE json_type(o->k) = 'VARCHAR'),
+links AS (SELECT line_id, link FROM ends WHERE json_type(link) = 'VARCHAR'),
+steps AS (SELECT DISTINCT a.line_id AS a, b.line_id AS b FROM links a JOIN links b USING (link)),
+reach AS (SELECT line_id AS a, line_id AS b FROM said UNION SELECT r.a, s.b FROM reach r JOIN steps s ON r.b = s.a)
+SELECT a AS line_id, min(b) AS conversation_id FROM reach GROUP BY a"""
+
+P4_FOUND_SQL = f"""WITH {MESSAGE_SQL},
+parts AS (
+    SELECT line_id, block_no, unnest(CASE json_type(b->'content') WHEN 'VARCHAR' THEN [b->'content'] WHEN 'ARRAY' THEN CAST(b->'content' AS JSON[]) ELSE CAST([] AS JSON[]) END) AS p
+    FROM blocks WHERE json_type(b) = 'OBJECT' AND b->>'type' = 'tool_result'),
+sizes AS (
+    SELECT line_id, block_no, sum(length(CASE json_type(p) WHEN 'VARCHAR' THEN p->>'$' WHEN 'OBJECT' THEN CASE json_type(p->'text') WHEN 'VARCHAR' THEN p->>'text' END END)) AS n FROM parts GROUP BY line_id, block_no
+    UNION ALL SELECT line_id, block_no, length(b->>'text') FROM blocks WHERE json_type(b) = 'OBJECT' AND b->>'type' = 'text' AND json_type(b->'text') = 'VARCHAR')
+SELECT line_id, block_no FROM sizes WHERE n > 4000"""
+
+P1_FOUND_SQL = f"""WITH {MESSAGE_SQL},
+seen AS (SELECT DISTINCT o->>'sessionId' AS sid FROM lines WHERE json_type(o) = 'OBJECT' AND json_type(o->'sessionId') = 'VARCHAR' AND o->>'sessionId' <> ''),
+own AS (
+    SELECT o->>'sessionId' AS sid, m->>'role' AS role, m->'content' AS content, line_no, line_id,
+        CASE WHEN json_type(o->'timestamp') = 'VARCHAR' AND o->>'timestamp' LIKE '____-__-__%' THEN try_cast(CASE WHEN regexp_matches(o->>'timestamp', '(Z|[+-]\\d\\d:?\\d\\d)$') THEN o->>'timestamp' ELSE (o->>'timestamp') || 'Z' END AS TIMESTAMPTZ) END AS instant
+    FROM said WHERE json_type(o->'sessionId') = 'VARCHAR' AND o->>'sessionId' <> ''),
+msgs AS (SELECT sid, role, content, instant, min(line_no) AS line_no FROM own GROUP BY sid, role, content, instant),
+kinds AS (
+    SELECT *, CASE WHEN coalesce(role, '') NOT IN ('user', 'assistant') OR instant IS NULL THEN 'bad'
+        WHEN CASE json_type(content) WHEN 'VARCHAR' THEN regexp_matches(content->>'$', '\\S') WHEN 'ARRAY' THEN
+            len(list_filter(CAST(content AS JSON[]), lambda b: json_type(b) = 'OBJECT' AND b->>'type' = 'text' AND json_type(b->'text') = 'VARCHAR' AND regexp_matches(b->>'text', '\\S'))) > 0 END
+        THEN CASE role WHEN 'user' THEN 'prompt' ELSE 'reply' END ELSE 'other' END AS kind
+    FROM msgs),
+firsts AS (SELECT sid, arg_min(kind, (instant, line_no)) AS kind FROM kinds WHERE instant IS NOT NULL GROUP BY sid),
+spoken AS (SELECT sid, kind, lead(kind) OVER (PARTITION BY sid ORDER BY instant, line_no) AS following FROM kinds WHERE kind IN ('prompt', 'reply')),
+tools AS (
+    SELECT sid, instant, line_no, b->>'type' AS what, CASE b->>'type' WHEN 'tool_use' THEN b->>'id' ELSE b->>'tool_use_id' END AS tool
+    FROM (SELECT sid, instant, line_no, unnest(CAST(content AS JSON[])) AS b FROM kinds WHERE json_type(content) = 'ARRAY')
+    WHERE json_type(b) = 'OBJECT' AND b->>'type' IN ('tool_use', 'tool_result')),
+calls AS (SELECT sid, tool, min((instant, line_no)) FILTER (what = 'tool_use') AS call, min((instant, line_no)) FILTER (what = 'tool_result') AS result FROM tools GROUP BY sid, tool)
+SELECT sid AS native_id FROM seen WHERE sid NOT IN (SELECT sid FROM kinds WHERE kind = 'prompt') OR sid NOT IN (SELECT sid FROM kinds WHERE kind = 'reply')
+UNION SELECT sid FROM kinds WHERE kind = 'bad'
+UNION SELECT sid FROM firsts WHERE kind <> 'prompt'
+UNION SELECT sid FROM spoken WHERE kind = 'prompt' AND coalesce(following, 'prompt') = 'prompt'
+UNION SELECT sid FROM calls WHERE tool IS NULL OR call IS NULL OR result IS NULL OR call >= result"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": P1_FOUND_SQL, "p1_linked": P1_LINKED_SQL, "p4_found": P4_FOUND_SQL}

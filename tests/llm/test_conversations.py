@@ -172,3 +172,37 @@ def test_query_gives_role_kind_line_and_message(spark, tiny):
     rows = queries.p1_conversations(spark, tiny).collect()
     assert rows and all(json.loads(r.message) == raw[r.line_id] and r.role == raw[r.line_id]["role"] for r in rows)
     assert {"text", "tool_use", "tool_result"} <= {r.kind for r in rows}
+
+
+def test_reply_links(spark):
+    """Messages without a session come together over parentUuid, tool ids and both."""
+
+    def bare(at, content, **more):
+        return json.dumps({"timestamp": f"2026-01-01T00:00:0{at}Z", "message": {"role": "user", "content": content}} | more)
+
+    use, res = [{"type": "tool_use", "id": "a"}], [{"type": "tool_result", "tool_use_id": "a", "content": "ok"}]
+    raws = [
+        bare(0, "q", uuid="u0"), bare(1, use, uuid="u1", parentUuid="u0"), bare(2, res), bare(3, "end", parentUuid="u1"),
+        line("s1", "user", "2026-01-01T00:00:04Z", "hi", uuid="v0"), bare(5, "other", parentUuid="v0"), bare(6, "alone"), bare(7, "odd", uuid=3, parentUuid=None), "x", None,
+        bare(8, "a"), bare(9, "b", parentUuid="a"),  # a tool's id is no line's name
+    ]
+    df, _ = frame(spark, raws)
+    facts = C.merged_facts(df).where(f"fact = {C.MESSAGE}").collect()
+    of = {r.line_id: r.conv for r in facts}
+    x = lambda n: "x:" + str(n).rjust(20, "0")
+    assert of == {0: x(0), 1: x(0), 2: x(0), 3: x(0), 4: "s:s1", 5: "s:s1", 6: x(6), 7: x(7), 10: x(10), 11: x(11)}
+    got = {r.line_id: r.conversation_id for r in C.linked_conversations(df).collect()}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4, 5: 4, 6: 6, 7: 7, 10: 10, 11: 11}
+    assert C.linked_conversations(df.limit(0)).count() == 0
+
+
+def test_links_alone_never_join_two_sessions(spark):
+    """On the test data the tool ids tell sessions apart, and the components are found by them."""
+    lines = table(spark, "/root/testdata/sf0.01", "log_lines")
+    sid = {r.line_id: (decode(r.raw_line) or {}).get("sessionId") for r in lines.where("agent = 'claude-code'").collect()}
+    groups = defaultdict(set)
+    for r in C.linked_conversations(lines).collect():
+        groups[r.conversation_id].add(r.line_id)
+    assert all(min(g) == c for c, g in groups.items())
+    assert sum(len({sid[i] for i in g}) > 1 for g in groups.values()) <= 0.01 * len(groups)
+    assert sum(len(g) > 1 for g in groups.values()) > 200
