@@ -40,9 +40,8 @@ def let(value: Column, body) -> Column:
 
 def entropy(text: Column) -> Column:
     """Bits per character of a text."""
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    n = F.size(chars).cast("double")
-    shares = F.transform(F.array_distinct(chars), lambda x: F.size(F.filter(chars, lambda y: y == x)) / n)
+    n = F.length(text).cast("double")
+    shares = F.transform(F.array_distinct(F.filter(F.split(text, ""), lambda x: x != "")), lambda x: (n - F.length(F.replace(text, x, F.lit("")))) / n)
     return -F.aggregate(shares, F.lit(0.0), lambda acc, p: acc + p * F.log2(p))
 
 
@@ -166,16 +165,53 @@ def commit_range(first: Column | str, last: Column | str, source: Column | str)
     return F.concat(span, F.when(F.coalesce(col(source), F.lit("")).isin("head", "unverified"), F.concat(F.lit(" ("), col(source), F.lit(")"))).otherwise(""))
 
 
+def short_commit(commit: Column | str) -> Column:
+    return F.left(F.nullif(col(commit), F.lit("")), F.lit(12))
+
+
+def git_line(branch: Column | str, first: Column | str, last: Column | str, source: Column | str) -> Column:
+    """'branch @ range', or the one of them that is known; empty if none is."""
+    return F.concat_ws(" @ ", F.nullif(col(branch), F.lit("")), commit_range(first, last, source))
+
+
+def worse(a: Column, b: Column, order: list[str]) -> Column:
+    """Of two marks the one further down the list; unknown and empty ones don't count."""
+    rank = F.array(*map(F.lit, order))
+    x, y = (F.coalesce(F.array_position(rank, c), F.lit(0)) for c in (a, b))
+    return F.when(y > x, b).when(x > 0, a).otherwise(F.coalesce(F.nullif(a, F.lit("")), b))
+
+
+def project_path(path: Column | str, cwd: Column | str, root: Column | str, tool: bool = False) -> Column:
+    """A path as seen from the repository's root; those outside it stay. A relative one
+    stands below ``cwd``, but a tool's relative path is left as it is."""
+    p, c = col(path), F.coalesce(col(cwd), F.lit(""))
+    full = F.when(p.startswith("/") | (c == ""), p).otherwise(F.concat_ws("/", c, p))
+    moved = F.when(F.coalesce(col(root), F.lit("")) == "", clean_path(p)).when(full.startswith("/"), relative_path(full, root)).otherwise(clean_path(p))
+    kept = F.when(moved.startswith("/") & ~p.startswith("/"), clean_path(p)).otherwise(moved)  # outside of the root
+    return F.when(p.startswith("/"), kept).otherwise(clean_path(p)) if tool else kept
+
+
+def utc_now() -> Column:
+    """The time of the query, to the second, as the store's tables have it."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
 # -- of queries, on the driver ---------------------------------------------------------
 _PIECE = re.compile(r'"[^"]*"|\S+')
-_SAFE = re.compile(r"\(*-?\w*\*?\)*", re.A)
+
+
+def _plain(word: str) -> bool:
+    """Whether a word can stand in a query as it is: letters, digits and underscores of
+    ASCII, perhaps excluded, perhaps a prefix, perhaps in brackets."""
+    core = word.lstrip("(").removeprefix("-").rstrip(")").removesuffix("*")
+    return all(c == "_" or c.isascii() and c.isalnum() for c in core)
 
 
 def sanitise_query(query: str) -> str:
     """A query in which every word that isn't plain is a quoted phrase."""
     out = []
     for p in _PIECE.findall(query):
-        if (p[0] == p[-1] == '"' and len(p) > 1) or p in ("AND", "OR", "NOT") or _SAFE.fullmatch(p):
+        if (p[0] == p[-1] == '"' and len(p) > 1) or p in ("AND", "OR", "NOT") or _plain(p):
             out.append(p)
         else:
             out.append('"' + p.replace('"', '""') + '"')

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as T
 from strandline.schemas import NOTE_KINDS, TABLES, conform
+from strandline.session import cut
 from strandline.sources.adapters import patch_touches
 
+from . import fulltext
+
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
@@ -112,7 +115,11 @@ def find_or_create_projects(homes: DataFrame, projects: DataFrame, paths: DataFr
     base = projects.agg(F.coalesce(F.max("project_id"), F.lit(0))).scalar()
     from pyspark.sql import Window
 
-    numbered = new.withColumn("project_id", (F.row_number().over(Window.orderBy("_id")) + base).cast("long"))  # new projects only
+    # numbered without a window over all of them: ranges of _id, and before each the rows of those before
+    ranged = cut(new.repartitionByRange("_id").sortWithinPartitions("_id").withColumn("_part", F.spark_partition_id()).withColumn("_n", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))  # a row for each partition
+    before = sizes.select(F.col("_part").alias("_p"), (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
+    numbered = ranged.join(F.broadcast(before), F.col("_part") == F.col("_p")).withColumn("project_id", (F.col("_n") + F.col("_before") + 1 + base).cast("long"))
     made = numbered.select("project_id", F.regexp_extract("path", r"([^/]*)/*$", 1).alias("project_name"), "git_remote", F.lit(None).cast("string").alias("created_at"))
     n = numbered.select(F.col("_id").alias("_n"), F.col("project_id").alias("_new"))
     of = known.withColumn("_id", F.coalesce("remote", "cwd")).join(n, F.col("_id") == F.col("_n"), "left").select("cwd", F.coalesce("project_id", "_new").alias("project_id"))
@@ -137,14 +144,18 @@ def supersede(notes: DataFrame, old: int, new: int) -> DataFrame:
     return notes.withColumn("superseded_by", F.when(F.col("note_id") == old, F.lit(new).cast("long")).otherwise(F.col("superseded_by")))
 
 
-def search_notes(notes: DataFrame, query: str, project_id: int | None = None, limit: int = 10) -> DataFrame:
-    """Live notes of a project and global ones, both columns searched as one text; tags
-    decoded, an empty list if they are no JSON array."""
-    from . import fulltext
+def note_texts(notes: DataFrame) -> DataFrame:
+    """(note_id, text): what of a note is searched."""
+    return notes.select("note_id", F.concat_ws("\n", "title", "body").alias("text"))
+
 
+def search_notes(notes: DataFrame, query: str, project_id: int | None = None, limit: int = 10, index: fulltext.Index | None = None) -> DataFrame:
+    """Live notes of a project and global ones, both columns searched as one text, by the
+    ``index`` of ``note_texts`` or else by a scan; tags decoded, an empty list if they are
+    no JSON array."""
     live = notes.where(F.col("superseded_by").isNull() & (F.col("project_id").isNull() | (F.col("project_id") == F.lit(project_id))))
-    text = notes.select("note_id", F.concat_ws("\n", "title", "body").alias("text"))
-    hits = fulltext.search(text, query, "note_id", "text").join(live, "note_id")
+    found = index.search(query, "note_id") if index else fulltext.search(note_texts(notes), query, "note_id", "text")
+    hits = found.join(live, "note_id")
     tags = F.coalesce(F.from_json("tags", "array<string>"), F.array().cast("array<string>"))
     return hits.orderBy("bm25", "note_id").limit(limit if limit > 0 else 10).select("note_id", "kind", "title", "body", tags.alias("tags"), "agent", "created_at", "bm25")
 
@@ -158,6 +169,19 @@ def pending_chunks(chunk_rows: DataFrame, session_rows: DataFrame, vectors: Data
     return out.limit(limit) if limit is not None else out
 
 
+def write_vectors(tables: dict[str, DataFrame], vectors: DataFrame, model: str, now: Column | None = None) -> dict[str, DataFrame]:
+    """chunks and chunk_vectors after an embedding step: the vectors are added where a chunk
+    has none, and those chunks are marked. Waiting is decided by the vectors alone, so a
+    crash between the two writes only leaves a mark to be set by the next step."""
+    at = now if now is not None else T.utc_now()
+    known = insert_new(tables["chunk_vectors"], vectors.where("embedding is not null").select(*tables["chunk_vectors"].columns), ["chunk_id"])
+    done = known.select(F.col("chunk_id").alias("_c"))
+    c = tables["chunks"].join(done, F.col("chunk_id") == F.col("_c"), "left")
+    new = F.col("_c").isNotNull() & F.col("embedded_at").isNull()
+    marked = c.withColumn("embedding_model", F.when(new, F.lit(model)).otherwise(F.col("embedding_model"))).withColumn("embedded_at", F.when(new, at.cast(tables["chunks"].schema["embedded_at"].dataType)).otherwise(F.col("embedded_at")))
+    return tables | {"chunk_vectors": known, "chunks": marked.select(*tables["chunks"].columns)}
+
+
 # -- repairs: the rows that change; counting them is the dry run ---------------------------------
 def repair_commits(session_rows: DataFrame, msgs: DataFrame, history: DataFrame) -> DataFrame:
     """(session_id, starting_commit, ending_commit, commit_source) where they change.
@@ -194,6 +218,24 @@ def repair_touches(msgs: DataFrame, touches: DataFrame) -> DataFrame:
     return calls.select("session_id", "message_id", F.explode(patch_touches(F.col("tool_name"), F.col("content"))).alias("t")).select("session_id", "message_id", F.col("t.path").alias("path"), F.col("t.action").alias("action"))
 
 
+def repair_counts(changes: dict[str, DataFrame]) -> DataFrame:
+    """(repair, changed_rows) of repairs by name: all of a dry run, and what a real one reports."""
+    out = None
+    for name, rows in changes.items():
+        one = rows.agg(F.count(F.lit(1)).alias("changed_rows")).select(F.lit(name).alias("repair"), "changed_rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def apply_changes(table: DataFrame, changes: DataFrame, key: str, dry_run: bool = False) -> DataFrame:
+    """``table`` with the columns of ``changes`` in the rows that it names; as it was, in a dry run."""
+    if dry_run:
+        return table
+    new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in changes.columns if c != key])
+    both = table.join(new, F.col(key) == F.col("_key"), "left")
+    return both.select(*[F.when(F.col("_key").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in changes.columns and c != key else F.col(c) for c in table.columns])
+
+
 def project_list(projects: DataFrame, session_rows: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     n = session_rows.groupBy(F.col("project_id").alias("_p")).agg(F.count(F.lit(1)).alias("sessions"))
     out = projects.join(n, F.col("project_id") == F.col("_p"), "left").drop("_p")

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from strandline.functions import text as T
 
-from .ordered import running_sum, sequence_numbers
+from .ordered import BLOCK, running_sum, sequence_numbers
 
 # --- fixed values ---------------------------------------------------------------------
 #: How far a commit can be trusted; a session keeps the worst.
 TRUST = ["logged", "branch", "head", "unverified"]
 # ----------------------------------------------------------------------------------------
+#: Lines of one file, at most: a multiple of a block's.
+FILE_LINES = 10_000_000_000
 
 
 def session_key(agent: Column | str = "agent", native: Column | str = "native_id") -> Column:
@@ -27,9 +29,9 @@ def messages(parsed: DataFrame, redacted: bool = True) -> DataFrame:
     of the earlier call with its id. Messages without a session id are left out.
     """
     rows = parsed.where((F.col("status") == "message") & F.col("native_id").isNotNull()).withColumn("session_id", session_key())
-    # one integer that orders all lines of a session
-    rows = rows.withColumn("pos", F.col("source_id") * F.lit(10_000_000_000) + F.col("line_no"))
-    rows = sequence_numbers(rows, ["session_id"], "pos", "seq", ("line_id",), block=1_000_000_000)
+    # one integer that orders all lines of a session; a block of it is 100,000 lines of a file
+    rows = rows.withColumn("pos", F.col("source_id") * F.lit(FILE_LINES) + F.col("line_no"))
+    rows = sequence_numbers(rows, ["session_id"], "pos", "seq", ("line_id",), block=BLOCK)
     calls = rows.where((F.col("kind") == "tool_call") & F.col("tool_use_id").isNotNull()).groupBy(F.col("session_id").alias("cs"), F.col("tool_use_id").alias("ct")).agg(F.min(F.struct("seq", "tool_name")).alias("call"))
     rows = rows.join(calls, (F.col("session_id") == F.col("cs")) & (F.col("tool_use_id") == F.col("ct")), "left")
     name = F.when(F.col("kind") == "tool_result", F.when(F.col("call.seq") < F.col("seq"), F.col("call.tool_name"))).otherwise(F.col("tool_name"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import vectors as V
@@ -91,6 +91,53 @@ class VectorTable:
             ok = ok & F.col(name).isNotNull()
         return rows.where(F.coalesce(ok, F.lit(False)))
 
+    def insert(self, rows: DataFrame, new: DataFrame) -> DataFrame:
+        """``rows`` with the valid ones of ``new`` whose key is not taken; of repeated new
+        keys one counts."""
+        fresh = self.valid(new).dropDuplicates([self.key]).join(rows.select(self.key), self.key, "left_anti")
+        return rows.unionByName(fresh.select(*rows.columns))
+
+    def delete(self, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """``rows`` without those whose key is in ``keys``."""
+        return rows.join(keys.select(self.key), self.key, "left_anti").select(*rows.columns)
+
+    def update(self, rows: DataFrame, changes: DataFrame) -> DataFrame:
+        """``rows`` with the columns of ``changes`` (one row for each key) where these aren't
+        null. A changed partition key or a vector of another size raises."""
+        new = changes.dropDuplicates([self.key]).select(F.col(self.key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in changes.columns if c != self.key])
+        both = rows.join(new, F.col(self.key) == F.col("_key"), "left")
+        out = []
+        for c in rows.columns:
+            if c == self.key or c not in changes.columns:
+                out.append(F.col(c))
+                continue
+            value = F.coalesce(F.col(f"_{c}"), F.col(c))
+            if c in self.partition:
+                value = F.when(F.col(f"_{c}").isNotNull() & ~F.col(f"_{c}").eqNullSafe(F.col(c)), F.raise_error(F.lit("a partition key can't be changed"))).otherwise(F.col(c))
+            elif c in self.vectors:
+                kind, dims, _ = self.vectors[c]
+                value = F.when(F.col(f"_{c}").isNotNull() & (V.vec_length(f"_{c}", kind) != dims), F.raise_error(F.lit("a vector of another size"))).otherwise(value)
+            out.append(value.alias(c))
+        return both.select(*out)
+
+    def describe(self) -> list[tuple[str, str, str]]:
+        """(column, role, type) of the declaration."""
+        out = [(self.key, "key", "")]
+        out += [(c, "partition", k) for c, k in self.partition.items()] + [(c, "metadata", k) for c, k in self.metadata.items()] + [(c, "auxiliary", k) for c, k in self.auxiliary.items()]
+        return out + [(c, "vector", f"{k}[{n}] {m}") for c, (k, n, m) in self.vectors.items()]
+
+
+def vectors_of_blob(spark: SparkSession, blob: bytes, dims: int) -> DataFrame:
+    """(rowid, vector) of raw little-endian float32 bytes, as a table."""
+    if dims <= 0 or len(blob) % (4 * dims):
+        raise ValueError("the bytes are no whole vectors")
+    import numpy as np
+    import pyarrow as pa
+
+    flat = pa.array(np.frombuffer(blob, dtype="<f4"))
+    n = len(flat) // dims
+    return spark.createDataFrame(pa.table({"rowid": pa.array(range(n), pa.int64()), "vector": pa.FixedSizeListArray.from_arrays(flat, dims).cast(pa.list_(pa.float32()))}))
+
 
 def knn(rows: DataFrame, query: list[float], k: int, metric: str = "cosine", vector: str = "embedding", key: str = "chunk_id", where: Column | None = None, floor: float | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, distance, *keep) of the k nearest rows, ties by key.

@@ -34,18 +34,19 @@ def _scoped(chunks: DataFrame, sessions: DataFrame, project_id: int | None, agen
 
 
 @named
-def search_chunks(chunks: DataFrame, sessions: DataFrame, query: str, project_id: int | None = None, agent: str | None = None, limit: int = 10) -> DataFrame:
+def search_chunks(index: fulltext.Index, chunks: DataFrame, sessions: DataFrame, query: str, project_id: int | None = None, agent: str | None = None, limit: int = 10) -> DataFrame:
     """Keyword search: statistics over all chunks, hits within the scope, best first. Ids are
-    ranked first; texts are joined to the few that are left."""
-    hits = fulltext.search(chunks.select("chunk_id", "chunk_text"), query)
+    ranked first, from the index; texts are joined to the few that are left."""
+    hits = index.search(query)
     scoped = hits.join(_scoped(chunks.select("chunk_id", "session_id"), sessions, project_id, agent), "chunk_id")
     best = scoped.orderBy("bm25", "chunk_id").limit(limit if limit > 0 else 10)
-    return best.join(chunks.select("chunk_id", "first_seq", "last_seq", fulltext.snippet("chunk_text", query).alias("snippet")), "chunk_id").orderBy("bm25", "chunk_id")
+    shown = best.join(chunks.select("chunk_id", "first_seq", "last_seq", "chunk_text"), "chunk_id")
+    return shown.withColumn("snippet", fulltext.snippet("chunk_text", query)).drop("chunk_text").orderBy("bm25", "chunk_id")
 
 
-def rank_lists(chunks: DataFrame, sessions: DataFrame, vectors: DataFrame, query: str, embedding: list[float], project_id: int | None, agent: str | None) -> tuple[DataFrame, DataFrame]:
+def rank_lists(index: fulltext.Index, chunks: DataFrame, sessions: DataFrame, vectors: DataFrame, query: str, embedding: list[float], project_id: int | None, agent: str | None) -> tuple[DataFrame, DataFrame]:
     ids = _scoped(chunks.select("chunk_id", "session_id"), sessions, project_id, agent)
-    kw = vector_search.ranked(fulltext.search(chunks.select("chunk_id", "chunk_text"), query).join(ids.select("chunk_id"), "chunk_id", "left_semi"), "bm25")
+    kw = vector_search.ranked(index.search(query).join(ids.select("chunk_id"), "chunk_id", "left_semi"), "bm25")
     where: Column | None = None
     for c, v in (("project_id", project_id), ("agent", agent)):
         if v is not None:
@@ -55,24 +56,24 @@ def rank_lists(chunks: DataFrame, sessions: DataFrame, vectors: DataFrame, query
 
 
 @named
-def search_hybrid(chunks: DataFrame, sessions: DataFrame, vectors: DataFrame, query: str, embedding: list[float], project_id: int | None = None, agent: str | None = None, limit: int = 10) -> DataFrame:
+def search_hybrid(index: fulltext.Index, chunks: DataFrame, sessions: DataFrame, vectors: DataFrame, query: str, embedding: list[float], project_id: int | None = None, agent: str | None = None, limit: int = 10) -> DataFrame:
     """Keyword and vector ranks fused; scope before the ranks, the distance floor after."""
-    fused = vector_search.fuse(*rank_lists(chunks, sessions, vectors, query, embedding, project_id, agent))
+    fused = vector_search.fuse(*rank_lists(index, chunks, sessions, vectors, query, embedding, project_id, agent))
     best = fused.orderBy(F.desc("score"), "chunk_id").limit(limit if limit > 0 else 10)
     shown = best.join(chunks.select("chunk_id", "session_id", "first_seq", "last_seq", "chunk_text"), "chunk_id").join(sessions.select("session_id", "agent", "title", "started_at"), "session_id")
     return shown.orderBy(F.desc("score"), "chunk_id").withColumn("preview", T.centred_preview("chunk_text", query)).drop("chunk_text")
 
 
-def best_available(chunks: DataFrame, sessions: DataFrame, vectors: DataFrame | None, query: str, embedder=None, **scope) -> tuple[list, bool, str | None]:
+def best_available(index: fulltext.Index, chunks: DataFrame, sessions: DataFrame, vectors: DataFrame | None, query: str, embedder=None, **scope) -> tuple[list, bool, str | None]:
     """(rows, whether vectors were used, why not): hybrid if an embedder is given, and
     keyword search on any error of it."""
     reason = None
     if embedder is not None and vectors is not None:
         try:
-            return search_hybrid(chunks, sessions, vectors, query, embedder.embed([query])[0], **scope).collect(), True, None
+            return search_hybrid(index, chunks, sessions, vectors, query, embedder.embed([query])[0], **scope).collect(), True, None
         except Exception as e:  # any failure of the richer plan falls back
             reason = str(e)
-    return search_chunks(chunks, sessions, query, **scope).collect(), False, reason
+    return search_chunks(index, chunks, sessions, query, **scope).collect(), False, reason
 
 
 @named
@@ -93,3 +94,20 @@ _QUERIES["SearchNotes"] = store.search_notes
 _QUERIES["PendingChunks"] = store.pending_chunks
 _QUERIES["InsertNote"] = store.add_note
 
+
+def flags_first(arguments: list[str], with_value: tuple[str, ...] = ()) -> list[str]:
+    """A command's arguments with its flags (and the values of those in ``with_value``) before
+    the others; what follows ``--`` stays where it is."""
+    flags, others, rest = [], [], list(arguments)
+    while rest:
+        a = rest.pop(0)
+        if a == "--":
+            others += [a, *rest]
+            break
+        if a.startswith("-") and a != "-":
+            flags.append(a)
+            if "=" not in a and a.lstrip("-") in with_value and rest:
+                flags.append(rest.pop(0))
+        else:
+            others.append(a)
+    return flags + others

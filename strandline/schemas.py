@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,6 +52,53 @@ def conform(df: DataFrame, name: str) -> DataFrame:
     return df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in TABLES[name].columns.items()])
 
 
+def describe(spark: SparkSession) -> DataFrame:
+    """(table_name, column_name, position, kind, required, key) of every column of the store."""
+    rows = [(n, c, i, k.simpleString(), c in t.required, c in t.key) for n, t in TABLES.items() for i, (c, k) in enumerate(t.columns.items())]
+    return spark.createDataFrame(rows, "table_name string, column_name string, position int, kind string, required boolean, key boolean")
+
+
+def missing_columns(df: DataFrame, name: str) -> list[str]:
+    """Columns of a table that ``df`` lacks."""
+    return [c for c in TABLES[name].columns if c not in df.columns]
+
+
+#: Steps that bring an older store up to date: (version, table, change); a step adds columns
+#: or changes rows, and runs once, in order.
+Migration = tuple[int, str, Callable[[DataFrame], DataFrame]]
+
+
+def migrate(spark: SparkSession, path: str, steps: list[Migration]) -> int:
+    """Runs the steps above the store's version, each into a folder of its own, and notes
+    every version when its table is whole; the version that is reached. A run that broke
+    off goes on where it stood: a table's latest folder is what ``versions`` names."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    root = fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    mark = f"{path}/versions"
+    done = {r.version: r.table_name for r in spark.read.schema("version int, table_name string").json(mark).collect()} if system.exists(fs.Path(mark)) else {}
+    for version, name, change in sorted(steps, key=lambda s: s[0]):
+        if version in done:
+            continue
+        old = max((v for v, t in done.items() if t == name), default=0)
+        folder = f"{path}/{name}/v={old}"
+        rows = spark.read.parquet(folder) if system.exists(fs.Path(folder)) else spark.createDataFrame([], TABLES[name].schema)
+        change(rows).write.mode("overwrite").parquet(f"{path}/{name}/v={version}")
+        spark.createDataFrame([(version, name)], "version int, table_name string").coalesce(1).write.mode("append").json(mark)
+        done[version] = name
+    return max(done, default=0)
+
+
+def open_folder(spark: SparkSession, path: str) -> str:
+    """A store's folder, made if it isn't there, for its owner alone."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    folder = fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(folder)
+    system.setPermission(folder, fs.permission.FsPermission("700"))
+    return path
+
+
 def violations(df: DataFrame, name: str) -> DataFrame:
     """(rule, violations): how many rows break each rule of a table; one aggregation for
     the row rules, one for each key."""

@@ -197,3 +197,9 @@ def parse(lines: DataFrame) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def ingest_report(parsed: DataFrame) -> DataFrame:
+    """(source_id, messages, skipped, failed, last_error) of each file that was read."""
+    of = lambda s: F.count_if(F.col("status") == s)
+    return parsed.groupBy("source_id").agg(of("message").alias("messages"), F.count_if(F.col("status").isin("skip", "session")).alias("skipped"), of("error").alias("failed"), F.max_by("error", F.when(F.col("error").isNotNull(), F.struct("line_no", "line_id"))).alias("last_error"))

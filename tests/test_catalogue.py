@@ -73,10 +73,7 @@ def test_touches_of_both_agents(spark, tiny):
     assert over == {s: len(files.get(s, ())) for s in over}
     assert any(n for s, n in over.items() if s.startswith("codex:"))
 
-    counts = {}
-    for r in rows:
-        counts[r.path] = counts.get(r.path, 0) + 1
-    hot = min(counts, key=lambda p: (-counts[p], p))
+    hot = catalogue.A_FILE
     per = {s: [r.action for r in rows if r.session_id == s and r.path == hot] for s in over}
     per = {s: (",".join(sorted({*a})), len(a), sum(x != "read" for x in a)) for s, a in per.items() if a}
     touching = q["app6_sessions_touching"](spark, tiny).collect()
@@ -88,9 +85,9 @@ def test_touches_of_both_agents(spark, tiny):
 def test_a_file_that_both_agents_touch(spark, tmp_path):
     t = '{"timestamp": "2026-01-01T00:00:0%dZ", '
     raws = [
-        (1, 1, "claude-code", 0, t % 0 + '"type": "assistant", "sessionId": "a", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "x", "name": "Read", "input": {"file_path": "/w/f.py"}}]}}'),
+        (1, 1, "claude-code", 0, t % 0 + '"type": "assistant", "sessionId": "a", "message": {"role": "assistant", "content": [{"type": "tool_use", "id": "x", "name": "Read", "input": {"file_path": "/w/%s"}}]}}' % catalogue.A_FILE),
         (2, 2, "codex", 0, t % 1 + '"type": "session_meta", "payload": {"session_id": "b", "cwd": "/w"}}'),
-        (3, 2, "codex", 1, t % 2 + '"type": "response_item", "payload": {"type": "custom_tool_call", "call_id": "c", "name": "apply_patch", "input": "*** Begin Patch\\n*** Update File: f.py\\n*** Add File: g.py\\n*** End Patch"}}'),
+        (3, 2, "codex", 1, t % 2 + '"type": "response_item", "payload": {"type": "custom_tool_call", "call_id": "c", "name": "apply_patch", "input": "*** Begin Patch\\n*** Update File: %s\\n*** Add File: g.py\\n*** End Patch"}}' % catalogue.A_FILE),
     ]
     at = datetime(2026, 1, 1)
     homes = [(f"{a}:{n}", a, n, 1, "/w", at, at, "t", 1) for a, n in (("claude-code", "a"), ("codex", "b"))]
@@ -103,7 +100,7 @@ def test_a_file_that_both_agents_touch(spark, tmp_path):
     for name, df in made.items():
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     q, d = catalogue.queries(), str(tmp_path)
-    assert {(r.session_id, r.path, r.action) for r in q["a7d_b7_file_touches"](spark, d).collect()} == {("claude-code:a", "f.py", "read"), ("codex:b", "f.py", "edit"), ("codex:b", "g.py", "create")}
+    assert {(r.session_id, r.path, r.action) for r in q["a7d_b7_file_touches"](spark, d).collect()} == {("claude-code:a", catalogue.A_FILE, "read"), ("codex:b", catalogue.A_FILE, "edit"), ("codex:b", "g.py", "create")}
     assert {(r.session_id, r.files_changed) for r in q["a10_session_overview"](spark, d).collect()} == {("claude-code:a", 0), ("codex:b", 2)}
     assert {(r.session_id, r.actions) for r in q["app6_sessions_touching"](spark, d).collect()} == {("claude-code:a", "read"), ("codex:b", "edit")}
     assert [(r.session_id, r.changes, r.chunk_id) for r in q["app7_explain_file"](spark, d).collect()] == [("codex:b", 1, 5), ("claude-code:a", 0, None)]

@@ -251,15 +251,39 @@ def test_search_and_index_agree(spark, tmp_path, q, want):
         p = fulltext.build_postings(docs)
         n = docs.count()
         mean = docs.select(F.avg(F.size(fulltext.tokens("chunk_text")))).first()[0]
-        idx = {r.doc: r.bm25 for r in fulltext.search_postings(p, q, n, mean).collect()}
+        idx = {r.doc: r.bm25 for r in fulltext.search_postings(p, q, F.lit(float(n)), F.lit(float(mean))).collect()}
         assert {*idx} == want and all(abs(idx[k] - got[k]) < 1e-9 for k in want)
 
 
-def test_write_postings(spark, tmp_path):
+def test_index_segments(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, "chunk_id long, chunk_text string")
-    fulltext.write_postings(docs, str(tmp_path / "p"), partitions=2)
-    plan = spark.read.parquet(str(tmp_path / "p")).where("term = 'planner'")._jdf.queryExecution().toString()
-    assert "EqualTo(term,planner)" in plan
+    index = fulltext.Index.build(docs.where("chunk_id < 3"), str(tmp_path / "p"), partitions=2)
+
+    def same(texts, q):
+        want = {r.chunk_id: round(r.bm25, 9) for r in fulltext.search(spark.createDataFrame(texts, "chunk_id long, chunk_text string").where("chunk_text is not null"), q).collect()}
+        assert {r.chunk_id: round(r.bm25, 9) for r in index.search(q).collect()} == want
+
+    same(DOCS[:2], "planner cursor")
+    index.add(docs.where("chunk_id >= 3"))
+    same(DOCS, "planner OR foo")
+    index.add(spark.createDataFrame([(1, "foo only"), (7, "planner")], "chunk_id long, chunk_text string"))  # 1 is replaced
+    now = [(1, "foo only"), *DOCS[1:], (7, "planner")]
+    same(now, "planner OR foo")
+    index.remove(spark.createDataFrame([(2,), (99,)], "chunk_id long"))
+    same([x for x in now if x[0] != 2], "planner OR foo")
+    index.add(docs.where("chunk_id = 2"))
+    same(now, "planner OR cursor")
+    plan = index.search("planner")._jdf.queryExecution().toString()
+    assert "EqualTo(term,planner)" in plan or "In(term" in plan
+
+
+def test_words_are_stemmed_and_folded(spark):
+    docs = spark.createDataFrame([(1, "We are refactoring the planner"), (2, "Réfactors, plural"), (3, "factor")], "chunk_id long, chunk_text string")
+    for q in ("refactor", "refactored", "REFACTORS", "réfactoring"):
+        assert {r.chunk_id for r in fulltext.search(docs, q).collect()} == {1, 2}
+        assert {r.doc for r in fulltext.search_postings(fulltext.build_postings(docs), q, F.lit(3.0), F.lit(3.0)).collect()} == {1, 2}
+    assert {r.chunk_id for r in fulltext.search(docs, '"refactored the planners"').collect()} == {1}
+    assert "[refactoring]" in value(spark, fulltext.snippet(F.lit("We are refactoring it"), "refactors"))
 
 
 def test_snippet(spark):
@@ -286,9 +310,10 @@ def test_best_available(spark):
         def embed(self, texts):
             raise RuntimeError("no service")
 
-    rows, used, why = named.best_available(c, s, v, "planner", Broken(), project_id=1)
+    index = fulltext.index_of(c, "test_best_available")
+    rows, used, why = named.best_available(index, c, s, v, "planner", Broken(), project_id=1)
     assert len(rows) == 1 and not used and why == "no service"
-    rows, used, why = named.best_available(c, s, v, "planner", HashEmbedder(8), project_id=1)
+    rows, used, why = named.best_available(index, c, s, v, "planner", HashEmbedder(8), project_id=1)
     assert len(rows) == 1 and used and why is None
     assert named.load_query("SearchHybrid") and named.load_query("ExplainFile")
     with pytest.raises(KeyError):
