@@ -4,7 +4,7 @@ import json
 import logging
 
 from strandline.operators import transcript
-from strandline.sources import jsonl
+from strandline.sources import adapters, jsonl
 from strandline.sources.embedding import HashEmbedder
 from strandline.streaming import drain, ingest, turns
 
@@ -53,6 +53,85 @@ def test_batches(spark, tmp_path):
     assert [r.content for r in store.messages().orderBy("seq").collect()] == ["new", "b"]
 
 
+def batch_result(spark, root):
+    """(session_id, seq, role, kind, content) of all files as one batch gives them."""
+    rows = []
+    for k, f in enumerate(sorted(root.rglob("*.jsonl"))):
+        at = 0
+        for raw in f.read_text().split("\n")[:-1]:
+            if raw.strip():
+                rows.append((len(rows), k + 1, ingest.agent_of(str(f)), at, raw))
+            at += len(raw.encode()) + 1
+    lines = spark.createDataFrame(rows, "line_id long, source_id long, agent string, line_no long, raw_line string")
+    m = transcript.messages(adapters.parse(lines)).persist()
+    return sorted((r.session_id, r.seq, r.role, r.kind, r.content) for r in m.collect()), sorted(tuple(r) for r in transcript.chunks(m).collect())
+
+
+def codex(i, kind, **payload):
+    return json.dumps({"timestamp": f"2026-01-01T00:00:{i:02}Z", "type": kind, "payload": payload})
+
+
+def said(i, role, text):
+    return codex(i, "response_item", type="message", role=role, content=[{"type": "input_text", "text": text}])
+
+
+def test_follow_gives_what_the_batch_gives(spark, tmp_path):
+    root = tmp_path / "logs"
+    (root / "codex").mkdir(parents=True)
+    store = ingest.LogStore(spark, str(tmp_path / "store"))
+    a, b, c = root / "a.jsonl", root / "b.jsonl", root / "codex" / "c.jsonl"
+
+    def run():
+        q = ingest.follow(spark, str(root), store, str(tmp_path / "cp"), once=True)
+        try:
+            assert q.awaitTermination(120)
+        finally:
+            q.stop()
+        got = sorted((r.session_id, r.seq, r.role, r.kind, r.content) for r in store.messages().collect())
+        want, chunks = batch_result(spark, root)
+        assert got == want and got
+        assert sorted(tuple(r) for r in store.chunks().select("session_id", "first_seq", "last_seq", "chunk_text").collect()) == chunks
+
+    def add(f, *lines):
+        with f.open("a") as out:
+            out.write("".join(x + "\n" for x in lines))
+
+    add(a, line(0, "user", "q1"), line(1, "assistant", "a1"), "not json")
+    add(c, codex(0, "session_meta", session_id="n1", cwd="/w"), said(1, "user", "hello"))
+    run()
+    # the session goes on in a second file, and the other one without its first line
+    add(b, line(2, "user", "q2"), line(3, "assistant", "a2"))
+    add(c, said(2, "assistant", "hi"), said(3, "user", "more"))
+    run()
+    add(a, line(4, "user", "q3"))
+    add(c, codex(4, "session_meta", session_id="n2", cwd="/x"), said(5, "user", "another"))
+    run()
+    # a file is written anew: one session of it is gone, another one new
+    c.write_text(codex(0, "session_meta", session_id="n3", cwd="/w") + "\n" + said(1, "user", "anew") + "\n")
+    run()
+    assert {r.session_id for r in store.messages().collect()} == {"claude-code:s", "codex:n3"}
+    rows = {r.log_path.rsplit("/", 1)[-1]: r for r in ingest.report(store).collect()}
+    assert rows["a.jsonl"].failed == 1 and rows["a.jsonl"].last_error == "invalid JSON" and rows["b.jsonl"].messages == 2
+    assert len({r.source_id for r in store.sources().collect()}) == 3
+
+
+def test_spans_and_addresses(spark, tmp_path, monkeypatch):
+    f = tmp_path / "x" / "big.jsonl"
+    f.parent.mkdir()
+    lines = ['{"n": %d, "t": "%s"}' % (i, "é" * (i % 40)) for i in range(500)]
+    f.write_text("\n".join(lines) + "\n{}")
+    for span in (1, 7, 64, 1 << 20):
+        monkeypatch.setattr(jsonl, "SPAN", span)
+        for root in (str(tmp_path), f"file://{tmp_path}"):
+            reader = jsonl._Batch(root)
+            got = sorted(x for p in reader.partitions() for x in reader.read(p)) if span > 1 or root[0] == "/" else None
+            if got is not None:
+                assert [x[2] for x in got] == lines and all(x[0].endswith("big.jsonl") for x in got)
+                assert [x[1] for x in got] == [sum(len(y.encode()) + 1 for y in lines[:k]) for k in range(len(lines))]
+    assert jsonl.scan(spark, f"file://{tmp_path}").count() == 501 == jsonl.scan(spark, str(tmp_path)).count()
+    assert jsonl.scan(spark, f"file://{tmp_path}/nothing").count() == 0
+
+
 def test_settled_turns(spark, tmp_path):
     rows = [("s", 0, "user", "text", "q1"), ("s", 1, "assistant", "text", "a1"), ("s", 2, "user", "text", "q2"), ("s", 3, "system", "event", "x"), ("s", 4, "assistant", "text", "a2"), ("s", 5, "user", "text", "q3"), ("t", 0, "user", "text", "only")]
     schema = "session_id string, seq long, role string, kind string, content string"
