@@ -30,7 +30,7 @@ MOST_CATALOGUE_ROWS = 10_000
 MISSING_SHARE, VALUE_SHARE = 0.95, 0.5
 #: Share of a field's values from which a signature is a usual one.
 USUAL_SHARE = 0.002
-LITERAL_CHARS, SIGNATURE_CHARS, LEAVES = 24, 48, 4
+LITERAL_CHARS, LEAVES = 24, 4
 
 _DIGITS, _LETTERS = re.compile(r"[0-9]+"), re.compile(r"[A-Za-z]+")
 _MIXED = re.compile(r"[A-Za-z]*[0-9][A-Za-z0-9]*")
@@ -71,7 +71,7 @@ def signature(v: object) -> str:
     shape = _MIXED.sub(lambda m: "9" if m.group().isdigit() else "x", text)
     if len(shape) > LITERAL_CHARS:
         shape = _LETTERS.sub("a", shape)
-    return shape[:SIGNATURE_CHARS]
+    return shape
 
 
 def line_fields(o: dict, nested: bool) -> dict[str, object]:
@@ -153,7 +153,8 @@ def drift_facts(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def _domains(facts: DataFrame) -> DataFrame:
-    """(agent, c, value, share): the usual signatures of every catalogue field."""
+    """(agent, c, value, share): the usual signatures of every catalogue field, 1 /
+    ``USUAL_SHARE`` at most, so they can be broadcast."""
     d = facts.where("what = 'domain'").groupBy("agent", F.col("field").alias("c"), "value").agg(F.sum("n").alias("n"))
     share = F.col("n") / F.sum("n").over(Window.partitionBy("agent", "c"))
     return d.select("agent", "c", "value", share.alias("share")).where(F.col("share") >= USUAL_SHARE)
@@ -164,10 +165,10 @@ def renamings(facts: DataFrame, domains: DataFrame) -> DataFrame:
     by_value = facts.where("what = 'unknown'").groupBy("agent", "field", "value", "missing").agg(F.sum("n").alias("n"))
     lines_of = by_value.groupBy("agent", "field").agg(F.sum("n").alias("lines"))
     pairs = by_value.select("agent", "field", "value", "n", F.explode("missing").alias("c")).groupBy("agent", "field", "c", "value").agg(F.sum("n").alias("n"))
-    met = pairs.join(domains, ["agent", "c", "value"], "left").groupBy("agent", "field", "c").agg(
+    met = pairs.join(F.broadcast(domains), ["agent", "c", "value"], "left").groupBy("agent", "field", "c").agg(
         F.sum("n").alias("missing"), F.sum(F.when(F.col("share").isNotNull(), F.col("n")).otherwise(0)).alias("fits"), F.coalesce(F.sum("share"), F.lit(0.0)).alias("covered")
     )
-    fit = met.join(lines_of, ["agent", "field"]).where((F.col("missing") >= MISSING_SHARE * F.col("lines")) & (F.col("fits") >= VALUE_SHARE * F.col("lines")))
+    fit = met.join(lines_of.hint("merge"), ["agent", "field"]).where((F.col("missing") >= MISSING_SHARE * F.col("lines")) & (F.col("fits") >= VALUE_SHARE * F.col("lines")))
     near = F.levenshtein(F.lower(F.regexp_replace("field", "[^A-Za-z]", "")), F.lower(F.regexp_replace("c", "[^A-Za-z]", "")))
     best = F.row_number().over(Window.partitionBy("agent", "field").orderBy(F.desc("fits"), F.desc("covered"), near, "c"))
     return fit.withColumn("best", best).where("best = 1").select("agent", "field", "c")
@@ -188,15 +189,15 @@ def drift_report(lines: DataFrame, catalogue: DataFrame) -> DataFrame:
     small = _collected_catalogue(catalogue)
     spark = lines.sparkSession
     types = spark.createDataFrame([(a, f, sorted(t)) for a, fs in small.items() for f, (t, _) in fs.items()], "agent string, field string, allowed array<string>")
-    retyped = facts.where("what = 'known'").join(types, ["agent", "field"]).where(~F.array_contains("allowed", F.col("value"))).select("source_id", "field", F.lit("retyped").alias("change_kind"))
-    unknown = facts.where("what = 'unknown'").join(stands, ["agent", "field"], "left").join(domains, ["agent", "c", "value"], "left")
+    retyped = facts.where("what = 'known'").join(F.broadcast(types), ["agent", "field"]).where(~F.array_contains("allowed", F.col("value"))).select("source_id", "field", F.lit("retyped").alias("change_kind"))
+    unknown = facts.where("what = 'unknown'").join(stands.hint("merge"), ["agent", "field"], "left").join(F.broadcast(domains), ["agent", "c", "value"], "left")
     stood = F.col("c").isNotNull() & F.col("share").isNotNull() & F.coalesce(F.array_contains("missing", F.col("c")), F.lit(False))
     per = unknown.groupBy("source_id", "agent", "field", "c").agg(F.max(stood).alias("stood"))
     renamed = per.where("stood").select("source_id", "agent", F.col("c").alias("field")).distinct()
     added = per.where("not stood").select("source_id", "field", F.lit("added").alias("change_kind"))
     asked = facts.where("what = 'asked'").groupBy("source_id", "agent", "field").agg(F.sum("present").alias("present")).where("present = 0")
     r = renamed.select(F.col("source_id").alias("rs"), F.col("agent").alias("ra"), F.col("field").alias("rf"))
-    removed = asked.join(r, F.col("source_id").eqNullSafe(F.col("rs")) & (F.col("agent") == F.col("ra")) & (F.col("field") == F.col("rf")), "left_anti").select("source_id", "field", F.lit("removed").alias("change_kind"))
+    removed = asked.join(r.hint("merge"), F.col("source_id").eqNullSafe(F.col("rs")) & (F.col("agent") == F.col("ra")) & (F.col("field") == F.col("rf")), "left_anti").select("source_id", "field", F.lit("removed").alias("change_kind"))
     out = retyped.unionByName(renamed.select("source_id", "field", F.lit("renamed").alias("change_kind"))).unionByName(added).unionByName(removed)
     return out.distinct().select("source_id", F.col("field").alias("field_name"), "change_kind")
 
