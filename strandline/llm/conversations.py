@@ -207,7 +207,7 @@ def _with_messages(numbered: DataFrame, lines: DataFrame) -> DataFrame:
     """``numbered`` with the role, kind and JSON of each row's message, read from its line."""
     import pyarrow as pa
 
-    found = numbered.join(lines.where(F.col("agent") == "claude-code").select("line_id", "raw_line"), "line_id")
+    found = numbered.join(lines.where(F.col("agent") == "claude-code").select("line_id", "raw_line").hint("merge"), "line_id")
     names = ["conversation_id", "seq", "role", "instant", "line_no", "line_id", "message_hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def conversations(lines: DataFrame) -> DataFrame:
 
     facts = merged_facts(lines)
     broken = broken_conversations(facts)
-    kept = facts.where(F.col("fact") == MESSAGE).join(broken, "conv", "left_anti").select("conv", "instant", "line_no", "sub", "kind", "line_id")
+    kept = facts.where(F.col("fact") == MESSAGE).join(broken.hint("merge"), "conv", "left_anti").select("conv", "instant", "line_no", "sub", "kind", "line_id")
     ordered = kept.repartitionByRange("conv", "instant", "line_no", "sub").sortWithinPartitions("conv", "instant", "line_no", "sub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +254,7 @@ def conversations(lines: DataFrame) -> DataFrame:
     placed = cut(ordered.mapInArrow(run, "conv string, instant long, line_no long, sub string, kind int, line_id long, segment long, place long"))
     sizes = placed.groupBy("conv", "segment").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("conv", "segment", (F.sum("n").over(Window.partitionBy("conv").orderBy("segment")) - F.col("n")).alias("before"))
-    numbered = placed.join(before, ["conv", "segment"]).withColumn("seq", F.col("before") + F.col("place"))
+    numbered = placed.join(before.hint("merge"), ["conv", "segment"]).withColumn("seq", F.col("before") + F.col("place"))
     role = F.when(F.col("kind") == PROMPT, "prompt").when(F.col("kind") == REPLY, "reply").otherwise("tool")
     numbered = numbered.select(F.substring("conv", 3, 1 << 30).alias("conversation_id"), F.col("seq").cast("long").alias("seq"), role.alias("role"), "instant", "line_no", "line_id", F.col("sub").alias("message_hash"))
     return _with_messages(numbered, lines)
