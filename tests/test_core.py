@@ -68,6 +68,24 @@ def test_cuts(spark):
     assert value(spark, T.commit_range(F.lit("a" * 40), F.lit("b" * 40), F.lit("head"))) == "a" * 12 + ".." + "b" * 12 + " (head)"
 
 
+def test_paths_of_projects(spark):
+    at = lambda *a, **k: value(spark, T.project_path(*[F.lit(x) for x in a], **k))
+    assert [at("a.py", "/r/src", "/r"), at("/r/src/a.py", "/x", "/r"), at("/q/a.py", "/r", "/r"), at("../../b", "/r/src", "/r"), at("./a", None, "/r"), at("a", "/w", None)] == ["src/a.py", "src/a.py", "/q/a.py", "../../b", "a", "a"]
+    assert [at("a.py", "/r/src", "/r", tool=True), at("/r/src/a.py", "/x", "/r", tool=True)] == ["a.py", "src/a.py"]
+
+
+def test_marks_of_trust(spark):
+    w = lambda a, b: value(spark, T.worse(F.lit(a), F.lit(b), transcript.TRUST))
+    assert [w("logged", "head"), w("head", "logged"), w("", "branch"), w(None, None), w("odd", "branch")] == ["head", "head", "branch", None, "branch"]
+    line = lambda *a: value(spark, T.git_line(*[F.lit(x) for x in a]))
+    assert [line("main", "a" * 40, "", "logged"), line("", None, None, None), line("main", None, None, None)] == ["main @ " + "a" * 12, "", "main"]
+
+
+def test_flags_first():
+    assert named.flags_first(["ask", "--limit", "5", "-v", "what", "--", "--x"], ("limit",)) == ["--limit", "5", "-v", "ask", "what", "--", "--x"]
+    assert named.flags_first(["a", "--limit=5", "-"], ("limit",)) == ["--limit=5", "a", "-"] and named.flags_first([]) == []
+
+
 def test_preview():
     text = "x " * 400 + "the Planner retries " + "y " * 400
     p = T.preview_of(text, T.query_terms("planner AND retry -nope"), 100)
@@ -286,6 +304,32 @@ def test_words_are_stemmed_and_folded(spark):
     assert "[refactoring]" in value(spark, fulltext.snippet(F.lit("We are refactoring it"), "refactors"))
 
 
+def test_vector_rows(spark):
+    t = vector_search.VectorTable.parse("id integer primary key, p text partition key, m integer, v float[2]")
+    schema = "id long, p string, m int, v array<float>"
+    rows = spark.createDataFrame([(1, "a", 1, [1.0, 2.0])], schema)
+    new = spark.createDataFrame([(1, "a", 9, [0.0, 0.0]), (2, "a", 2, [3.0, 4.0]), (3, "a", 3, [1.0]), (4, None, 4, [1.0, 1.0]), (5, "b", None, [1.0, 1.0])], schema)
+    now = t.insert(rows, new)
+    assert sorted(map(tuple, now.select("id", "m").collect())) == [(1, 1), (2, 2)]
+    up = t.update(now, spark.createDataFrame([(2, None, 7, None), (1, "a", None, [5.0, 6.0])], schema))
+    assert sorted((r.id, r.m, r.v) for r in up.collect()) == [(1, 1, [5.0, 6.0]), (2, 7, [3.0, 4.0])]
+    for bad in ((1, "b", 1, None), (1, "a", 1, [1.0])):
+        with pytest.raises(Exception):  # noqa: B017
+            t.update(now, spark.createDataFrame([bad], schema)).collect()
+    assert [r.id for r in t.delete(now, now.where("id = 1")).collect()] == [2]
+    assert vector_search.vectors_of_blob(spark, b"", 3).count() == 0
+    with pytest.raises(ValueError):
+        vector_search.vectors_of_blob(spark, b"123", 1)
+
+
+def test_a_file_of_a_million_lines_is_no_single_task(spark):
+    n = 1_000_000
+    lines = spark.range(n).select(F.col("id").alias("line_id"), F.lit(1).cast("long").alias("source_id"), F.lit("codex").alias("agent"), F.col("id").alias("line_no"), F.lit("message").alias("status"), F.lit("s").alias("native_id"), F.lit("user").alias("role"), F.lit("text").alias("kind"), F.lit(None).cast("string").alias("tool_name"), F.lit(None).cast("string").alias("tool_use_id"), F.lit("x").alias("content"), F.lit("").alias("created_at"), F.array().cast("array<struct<path:string,action:string>>").alias("touches"))
+    m = transcript.messages(lines, redacted=False).select("seq", F.spark_partition_id().alias("task"))
+    per = m.groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("a"), F.max("seq").alias("z")).collect()
+    assert len(per) > 1 and sum(r.n for r in per) == n and max(r.n for r in per) < n and min(r.a for r in per) == 0 and max(r.z for r in per) == n - 1
+
+
 def test_snippet(spark):
     text = "w " * 40 + "alpha beta " + "w " * 40
     s = value(spark, fulltext.snippet(F.lit(text), "alpha beta"))
@@ -371,14 +415,54 @@ def test_notes(spark):
 
 def test_repairs(spark):
     s = spark.createDataFrame([("a", "/w", "old", "old", "logged"), ("b", "/none", "k", "k", "logged")], "session_id string, cwd string, starting_commit string, ending_commit string, commit_source string")
-    m = spark.createDataFrame([("a", "2026-01-15T00:00:00Z"), ("a", "2026-02-15T00:00:00Z"), ("b", "2026-01-01T00:00:00Z")], "session_id string, created_at string")
-    h = spark.createDataFrame([("/w", 1767225600, "c1", "branch"), ("/w", 1769904000, "c2", "branch")], "cwd string, at long, hash string, source string")
+    m = spark.createDataFrame([("a", "2027-05-06T07:00:00Z"), ("a", "2027-08-09T10:00:00Z"), ("b", "2027-03-04T05:00:00Z")], "session_id string, created_at string")
+    h = spark.createDataFrame([("/w", 1806000000, "c1", "branch"), ("/w", 1815000000, "c2", "branch")], "cwd string, at long, hash string, source string")
     assert {r.session_id: (r.starting_commit, r.ending_commit, r.commit_source) for r in store.repair_commits(s, m, h).collect()} == {"a": ("c1", "c2", "branch"), "b": ("k", "k", "unverified")}
     t = spark.createDataFrame([(1, "a", "/r/src/x.py", False), (2, "a", "x.py", False), (3, "a", "done", True)], "touch_id long, session_id string, path string, rooted boolean")
     roots = spark.createDataFrame([("a", "/r/src", "/r")], "session_id string, cwd string, root string")
     assert {r.touch_id: r.path for r in store.repair_paths(t, roots).collect()} == {1: "src/x.py", 2: "src/x.py"}
 
 
+def test_dry_runs_and_changes(spark):
+    t = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "touch_id long, path string, other int")
+    changes = spark.createDataFrame([(2, "c"), (9, "z")], "touch_id long, path string")
+    assert {tuple(r) for r in store.repair_counts({"paths": changes, "none": changes.limit(0)}).collect()} == {("paths", 2), ("none", 0)}
+    assert sorted(map(tuple, store.apply_changes(t, changes, "touch_id").collect())) == [(1, "a", 5), (2, "c", 6)]
+    assert sorted(map(tuple, store.apply_changes(t, changes, "touch_id", dry_run=True).collect())) == [(1, "a", 5), (2, "b", 6)]
+
+
+def test_embedding_write(spark):
+    chunks = schemas.conform(spark.createDataFrame([(1, "s", None), (2, "s", None), (3, "s", "then")], "chunk_id long, session_id string, embedded_at string"), "chunks")
+    have = schemas.conform(spark.createDataFrame([(1, [0.5])], "chunk_id long, embedding array<float>"), "chunk_vectors")
+    new = schemas.conform(spark.createDataFrame([(1, [0.1]), (2, [0.2]), (3, None)], "chunk_id long, embedding array<float>"), "chunk_vectors")
+    for _ in range(2):  # once more changes nothing
+        t = store.write_vectors({"chunks": chunks, "chunk_vectors": have}, new, "m", F.lit("now"))
+        chunks, have = t["chunks"], t["chunk_vectors"]
+        # chunk 1 had its vector but lacked the mark, as after a crash between the two writes
+        assert {r.chunk_id: (r.embedded_at, r.embedding_model) for r in chunks.collect()} == {1: ("now", "m"), 2: ("now", "m"), 3: ("then", None)}
+        assert {r.chunk_id: round(r.embedding[0], 3) for r in have.collect()} == {1: 0.5, 2: 0.2}
+
+
+def test_migrations(spark, tmp_path):
+    path = schemas.open_folder(spark, str(tmp_path / "store"))
+    assert os.stat(path).st_mode & 0o777 == 0o700
+    ran = []
+
+    def first(df):
+        ran.append(1)
+        return schemas.conform(spark.createDataFrame([(1, "a")], "project_id long, project_name string"), "projects")
+
+    def second(df):
+        ran.append(2)
+        return df.withColumn("git_remote", F.lit("h/o/r"))
+
+    assert schemas.migrate(spark, path, [(1, "projects", first)]) == 1
+    assert schemas.migrate(spark, path, [(2, "projects", second), (1, "projects", first)]) == 2 == schemas.migrate(spark, path, [(1, "projects", first), (2, "projects", second)])
+    assert ran == [1, 2] and spark.read.parquet(f"{path}/projects/v=2").first().git_remote == "h/o/r"
+    assert schemas.missing_columns(spark.createDataFrame([(1,)], "project_id long"), "projects") == ["project_name", "git_remote", "created_at"]
+    assert {r.table_name for r in schemas.describe(spark).collect()} == {*schemas.TABLES}
+
+
 def test_violations(spark):
     c = spark.createDataFrame([(1, "s", 0, 1), (1, "s", 0, 0), (2, None, 3, 2)], "chunk_id long, session_id string, first_seq long, last_seq long")
     got = {r.rule: r.violations for r in schemas.violations(c, "chunks").collect()}
