@@ -12,8 +12,9 @@
 3. Inside a run, and its words and line where bytes of garbled characters look like ASCII,
    every inverse mapping (back to bytes by one encoding, read by another) is tested.
    A mapping stands if the result is more probable in this corpus by a margin; that is
-   tried again on the result, for text that was garbled more than once. Runs with U+FFFD
-   inside words are garbled too, but can't be restored.
+   tried again on the result, for text that was garbled more than once. U+FFFD is expected
+   nowhere, so it stands in an improbable run; where it took the place of letters the
+   passage is garbled, but can't be restored.
 
 Rows never meet in steps 2 and 3 (one ``mapInArrow``); the counts are aggregated per
 Arrow batch before they are shuffled.
@@ -56,6 +57,8 @@ MARGIN_UTF8, MARGIN_OTHER, MARGIN_CHAR = 2.5, 14.0, 1.5
 BEST_CHAR = 1.0
 #: Part of a conditional probability that is the marginal's; least probability.
 MIXED, LEAST = 0.01, 2e-7
+#: Score of a pair with a replacement character.
+NEVER = float(np.log(LEAST))
 
 # --- fixed values: names of encodings ----------------------------------------------
 #: Encodings by which text was wrongly read, and those in which it may have been written.
@@ -76,6 +79,7 @@ _FAR = re.compile("[^\x00-\x7f]")
 _ALONE = re.compile("(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
 _CLUSTER = re.compile("[^\x00-\x7f]+")
 _DANGLING = re.compile("(?<![^\x00-\x7f])[^\x00-\x7f](?=[\x00-\x2f\x3a-\x3f]|\\Z)")
+_LOST = re.compile("\ufffd+")
 _C1 = re.compile("[\x80-\x9f]")
 
 
@@ -198,7 +202,8 @@ class Restorer:
             got = 0
             for k, wrong in enumerate(WRONG):
                 data = to_bytes(c, wrong)
-                if data is not None:
+                # four bytes of gb18030 hold digits between bytes that begin no character elsewhere
+                if data is not None and len(data) < 4:
                     ways = (1 << len(RIGHT)) - 1
                     for byte in data:
                         ways &= self._ways_of_byte(byte)
@@ -262,6 +267,7 @@ class Restorer:
         s, c = self.model.scores(big)
         e = np.minimum(s, self.model.marginal[c[1:]] + LIFT)
         far = (c[:-1] > 127) | (c[1:] > 127)
+        e[(c[:-1] == 0xFFFD) | (c[1:] == 0xFFFD)] = NEVER  # what stands for lost bytes is expected nowhere
         rare = np.flatnonzero(far & (e < RARE))
         begins = np.cumsum([1, *(len(t) + 1 for t in texts)])
         score = np.where(far, np.clip(EXPECTED - e, -ORDINARY, 6.0), -ORDINARY)
@@ -435,8 +441,9 @@ class Restorer:
         """(index, what ``restore`` says) of every affected text, in order. What was changed
         is read again until nothing changes, for text that was garbled more than once."""
         who = [k for k, t in enumerate(texts) if t and not t.isascii()]
-        now = {k: texts[k] for k in who if "\ufffd" in texts[k]}
+        now: dict[int, str] = {}
         passages: dict[int, int] = {}
+        lost: dict[int, int] = {}
         for at in range(0, len(who), 256):
             todo = who[at : at + 256]
             seen: dict[int, set[str]] = {}
@@ -445,6 +452,7 @@ class Restorer:
                 for i, runs, before in self.scored(given):
                     k = todo[i]
                     new, n = self.once(given[i], runs, before)
+                    lost[k] = 0 if n else self.lost(given[i], runs)
                     if n:
                         now[k] = new
                         passages[k] = max(passages.get(k, 0), n)
@@ -452,18 +460,16 @@ class Restorer:
                             seen[k].add(new)
                             again.append(k)
                 todo = again
-        for k in sorted(now):
-            lost = self.lost(now[k])
-            if lost or k in passages:
-                yield k, (now[k], passages.get(k, 0), lost)
+        for k in sorted({*passages, *(k for k, n in lost.items() if n)}):
+            yield k, (now.get(k, texts[k]), passages.get(k, 0), lost.get(k, 0))
 
     @staticmethod
-    def lost(text: str) -> int:
-        """Passages whose characters are gone: replacement characters at a letter or in a row."""
-        if "\ufffd" not in text:
-            return 0
-        n = sum(1 for m in re.finditer("\ufffd+", text) if m.end() - m.start() > 1 or text[max(0, m.start() - 1) : m.start()].isalpha() or text[m.end() : m.end() + 1].isalpha())
-        return n if n or text.count("\ufffd") < 2 else 1
+    def lost(text: str, runs: list[tuple[int, int, float]]) -> int:
+        """Passages of improbable runs whose characters are gone: replacement characters at a
+        letter, in a row, or more than one."""
+        at = {m.span() for a, z, _ in runs for m in _LOST.finditer(text, a, z)}
+        n = sum(1 for a, z in at if z - a > 1 or text[max(0, a - 1) : a].isalpha() or text[z : z + 1].isalpha())
+        return n if n or len(at) < 2 else 1
 
 
 def _count_chars(docs: DataFrame, text: str) -> DataFrame:
