@@ -128,5 +128,15 @@ UNION SELECT sid FROM spoken WHERE kind = 'prompt' AND coalesce(following, 'prom
 UNION SELECT sid FROM calls WHERE tool IS NULL OR call IS NULL OR result IS NULL OR call >= result"""
 
 
+#: Brute force; ties go to the lower id, as in the operator.
+P2_FOUND_SQL = """WITH one AS (
+    SELECT chunk_id, embeddings[1] AS e FROM embed_responses WHERE len(embeddings) = 1 AND chunk_id IS NOT NULL AND len(embeddings[1]) = 64
+      AND len(list_filter(embeddings[1], lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embeddings[1], lambda x: x <> 0)) > 0),
+v AS (SELECT chunk_id, list_transform(any_value(e), lambda x: x::DOUBLE) AS e FROM one GROUP BY chunk_id),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY round(s, 7) DESC, b) AS k FROM p)
+SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM r WHERE k <= 5 AND s >= 0.9"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND_SQL, "p1_linked": P1_LINKED_SQL, "p4_found": P4_FOUND_SQL}
+    return {"p1_found": P1_FOUND_SQL, "p1_linked": P1_LINKED_SQL, "p2_found": P2_FOUND_SQL, "p4_found": P4_FOUND_SQL}
