@@ -278,7 +278,9 @@ def build_postings(docs: DataFrame, key: str = "chunk_id", text: str = "chunk_te
         # counted by word and document first, so that a frequent word is no hot key of the join
         by_word = at.groupBy("term", "doc", "n_tokens").agg(F.collect_list("pos").alias("p"))
         stems = by_word.select("term").distinct().select(F.col("term").alias("word"), _stem_of("term").alias("stem"))
-        at = by_word.join(stems, F.col("term") == F.col("word")).select(F.col("stem").alias("term"), "doc", "n_tokens", F.explode("p").alias("pos"))
+        stemmed_words = by_word.join(stems, F.col("term") == F.col("word")).groupBy(F.col("stem").alias("term"), "doc", "n_tokens")
+        out = stemmed_words.agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("positions"))
+        return out.select("term", "doc", "n_tokens", F.size("positions").cast("long").alias("tf"), "positions")
     return at.groupBy("term", "doc", "n_tokens").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

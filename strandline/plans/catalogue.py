@@ -16,6 +16,7 @@ from strandline.functions import text as T
 from strandline.functions import vectors as V
 from strandline.operators import fulltext, ordered, schema_drift, store, transcript, vector_search
 from strandline.schemas import violations
+from strandline.session import cut
 from strandline.sources import adapters
 from strandline.sources.tables import table
 
@@ -41,8 +42,11 @@ def parsed(spark: SparkSession, d: str) -> DataFrame:
     return adapters.parse(table(spark, d, "log_lines"))
 
 
-def msgs(spark: SparkSession, d: str) -> DataFrame:
-    return transcript.messages(parsed(spark, d))
+def msgs(spark: SparkSession, d: str, content: bool = True) -> DataFrame:
+    """Messages of lines that are parsed once: they are read for the rows and for the calls
+    that results look up, and parsing is most of the work. Without ``content`` it is null."""
+    rows = parsed(spark, d).where("status = 'message'")
+    return transcript.messages(cut(rows if content else rows.withColumn("content", F.lit(None).cast("string"))))
 
 
 def sess(spark: SparkSession, d: str) -> DataFrame:
@@ -52,7 +56,7 @@ def sess(spark: SparkSession, d: str) -> DataFrame:
 
 
 def touches(spark: SparkSession, d: str) -> DataFrame:
-    return transcript.file_touches(msgs(spark, d), table(spark, d, "sessions").select("session_id", "project_id", "cwd"))
+    return transcript.file_touches(msgs(spark, d, content=False), table(spark, d, "sessions").select("session_id", "project_id", "cwd"))
 
 
 def chunk_index(spark: SparkSession, d: str) -> fulltext.Index:
@@ -148,7 +152,7 @@ def a5_a6_malformed_lines(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES_SQL}, calls AS (SELECT session_id, tool_use_id, min(struct_pack(seq := seq, tool_name := tool_name)) AS c FROM m WHERE kind = 'tool_call' AND tool_use_id IS NOT NULL GROUP BY ALL) SELECT m.session_id, m.seq, m.line_id AS message_id, CASE WHEN m.kind = 'tool_result' THEN CASE WHEN c.seq < m.seq THEN c.tool_name END ELSE m.tool_name END AS tool_name FROM m LEFT JOIN calls ON m.session_id = calls.session_id AND m.tool_use_id = calls.tool_use_id")
 def b5_b6_messages(spark: SparkSession, d: str) -> DataFrame:
-    return msgs(spark, d).select("session_id", "seq", "message_id", "tool_name")
+    return msgs(spark, d, content=False).select("session_id", "seq", "message_id", "tool_name")
 
 
 @query(f"""WITH {MESSAGES_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY source_id, line_no, line_id) AS pos FROM told)
@@ -194,7 +198,7 @@ ISO_SQL = "strftime(started_at, '%Y-%m-%dT%H:%M:%S.%gZ')"
 @query(f"WITH {MESSAGES_SQL} SELECT c.chunk_id, c.session_id, coalesce((SELECT min(m.created_at) FROM m WHERE m.session_id = c.session_id AND m.seq BETWEEN c.first_seq AND c.last_seq), (SELECT {ISO_SQL} FROM sessions s WHERE s.session_id = c.session_id)) AS chunk_at FROM chunks c")
 def d14_chunk_times(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chunks").select("chunk_id", "session_id", "first_seq", "last_seq")
-    return transcript.chunk_times(c, msgs(spark, d), sess(spark, d)).select("chunk_id", "session_id", "chunk_at")
+    return transcript.chunk_times(c, msgs(spark, d, content=False), sess(spark, d)).select("chunk_id", "session_id", "chunk_at")
 
 
 @query(f"WITH {PATCH_SQL}, ft AS (SELECT session_id, count(DISTINCT path) AS files_changed FROM ({TOUCH_SQL}) WHERE action <> 'read' GROUP BY session_id) SELECT s.session_id, s.agent, p.project_name, s.title, s.message_count, coalesce(ft.files_changed, 0) AS files_changed FROM sessions s LEFT JOIN projects p ON p.project_id = s.project_id LEFT JOIN ft ON ft.session_id = s.session_id")
@@ -241,7 +245,7 @@ def app4_get_session(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {LONGEST_SQL} SELECT min(seq) AS seq FROM m JOIN big USING (session_id) WHERE seq > 10 AND kind <> 'thinking'")
 def app16_first_seq_after(spark: SparkSession, d: str) -> DataFrame:
-    m = msgs(spark, d)
+    m = msgs(spark, d, content=False)
     return transcript.first_seq_after(m, A_SESSION, 10, include_tools=True)
 
 
@@ -528,7 +532,7 @@ def b14_cascade(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {MESSAGES_SQL} SELECT s.session_id, (SELECT count(*) FROM m WHERE m.session_id = s.session_id) AS message_count FROM sessions s")
 def b17_recount(spark: SparkSession, d: str) -> DataFrame:
-    return store.recount(table(spark, d, "sessions"), msgs(spark, d)).select("session_id", "message_count")
+    return store.recount(table(spark, d, "sessions"), msgs(spark, d, content=False)).select("session_id", "message_count")
 
 
 @query("SELECT chunk_id, session_id FROM chunks")

@@ -64,7 +64,7 @@ def app11_ingest_counts(spark: SparkSession, d: str) -> DataFrame:
 def app3_get_chunk(spark: SparkSession, d: str) -> DataFrame:
     chunks, sessions = table(spark, d, "chunks"), sess(spark, d)
     of = chunks.where("chunk_id = 3").join(sessions, "session_id").select("project_id").scalar()
-    return named.get_chunk(chunks, sessions, msgs(spark, d), 3, of).select("chunk_id", "session_id", "agent", "first_seq", "last_seq", "chunk_text")
+    return named.get_chunk(chunks, sessions, msgs(spark, d, content=False), 3, of).select("chunk_id", "session_id", "agent", "first_seq", "last_seq", "chunk_text")
 
 
 @query("SELECT c.chunk_id, s.project_id, s.agent FROM chunks c JOIN sessions s USING (session_id) WHERE c.embedded_at IS NULL AND s.project_id IS NOT NULL ORDER BY c.chunk_id LIMIT 10")
@@ -286,7 +286,7 @@ def b21_d8_repair_commits(spark: SparkSession, d: str) -> DataFrame:
     at = F.unix_seconds(F.col("ended_at").cast("timestamp"))
     history = table(spark, d, "sessions").where("cwd is not null and ended_at is not null").select("cwd", at.alias("at"), F.md5("session_id").alias("hash")).groupBy("cwd", "at").agg(F.max("hash").alias("hash")).withColumn("source", F.lit("branch"))
     bare = schemas.conform(s.select("session_id", "agent", "native_id", "cwd"), "sessions")
-    return store.repair_commits(bare, msgs(spark, d), history).select("session_id", "starting_commit", "ending_commit", "commit_source")
+    return store.repair_commits(bare, msgs(spark, d, content=False), history).select("session_id", "starting_commit", "ending_commit", "commit_source")
 
 
 @query("SELECT chunk_id AS touch_id, CASE WHEN s.cwd LIKE '/home/dev/%' THEN substr(s.cwd, 11) || '/src/f' || (chunk_id % 9) ELSE 'src/f' || (chunk_id % 9) END AS path FROM chunks c JOIN sessions s USING (session_id) WHERE s.cwd LIKE '/home/dev/%' AND chunk_id % 2 = 0")
