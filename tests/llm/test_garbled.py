@@ -110,6 +110,8 @@ def test_ways_that_are_ruled_out_would_not_do(restorer):
             for right in G.SINGLE - {wrong}:
                 data = G.to_bytes(run, wrong)
                 said = G.from_bytes(data, right) if data is not None else None
+                if wrong == "gb18030" and any(len(c.encode(wrong)) == 4 for c in run):
+                    continue  # ruled out by itself
                 if said is not None and restorer.model.common.issuperset(said):
                     assert (wrong, right) in left
                     if wrong not in G.WIDE:
