@@ -79,6 +79,7 @@ _FAR = re.compile("[^\x00-\x7f]")
 _ALONE = re.compile("(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
 _CLUSTER = re.compile("[^\x00-\x7f]+")
 _DANGLING = re.compile("(?<![^\x00-\x7f])[^\x00-\x7f](?=[\x00-\x2f\x3a-\x3f]|\\Z)")
+_NARROW = re.compile("[^\u2e80-\U0010ffff]+")
 _LOST = re.compile("\ufffd+")
 _C1 = re.compile("[\x80-\x9f]")
 
@@ -274,9 +275,9 @@ class Restorer:
         before = np.zeros((len(s) + 1, 2))
         np.cumsum(s, dtype=np.float64, out=before[1:, 0])
         np.cumsum(s * far, dtype=np.float64, out=before[1:, 1])
-        for k in np.unique(np.searchsorted(begins, rare, "right") - 1).tolist():
-            if 0 <= k < len(texts) and len(texts[k]) > 1:
-                at, n = int(begins[k]), len(texts[k])
+        for k_ in np.unique(np.searchsorted(begins, rare, "right") - 1).tolist():
+            if 0 <= k_ < len(texts) and len(texts[k_]) > 1:
+                at, n = int(begins[k_]), len(texts[k_])
                 mine = rare[np.searchsorted(rare, at) : np.searchsorted(rare, at + n - 1)] - at
                 if len(mine):
                     here = score[at : at + n - 1]
@@ -289,9 +290,15 @@ class Restorer:
                     for b in block.tolist():
                         a = least[b - 1]
                         for i, j in segments(here[a : least[b]].tolist()):
-                            if bisect_left(mine, a + j) > bisect_left(mine, a + i):
-                                runs.append((a + i, a + j + 1, float(total[a + j] - total[a + i])))
-                    yield k, runs, before[at - 1 : at + n + 1]
+                            # a line feed is never garbled, so what stands before it tells nothing of what follows
+                            i, j = a + i, a + j
+                            while i < j:
+                                k = texts[k_].find("\n", i, j + 1)
+                                k = j + 1 if k < 0 else k  # the part's characters are i to k
+                                if k > i and bisect_left(mine, min(k, j)) > bisect_left(mine, max(i - 1, 0)):
+                                    runs.append((i, k, float(total[min(k, j)] - total[i])))
+                                i = k + 1
+                    yield k_, runs, before[at - 1 : at + n + 1]
 
     def improbable(self, text: str) -> list[tuple[int, int, float]]:
         """(begin, end, total score) of the improbable runs of one text."""
@@ -414,7 +421,22 @@ class Restorer:
                 if got and (best is None or got[1] > best[3] + 1.0):
                     best = (i, j, got[0], got[1])
             found = [best] if best else []
-            if not best:  # its clusters each; a no-break space may have become a space
+            if not best:  # its parts before, between and after characters of other scripts each
+                end = at
+                lo, hi = max(at, text.rfind("\n", 0, a) + 1, a - STRETCH), text.find("\n", z)
+                hi = min(len(text) if hi < 0 else hi, z + STRETCH)
+                for m in _NARROW.finditer(text, lo, hi):
+                    i, j = m.span()
+                    if i < z and j > a and (i > lo or j < hi):
+                        far = [k for k in range(i, j) if text[k] > "\x7f"]
+                        i, j = (max(far[0], end), far[-1] + 1) if len(far) > 1 else (0, 0)
+                        for j in (j, j + 1):  # the last character may end in a letter
+                            got = self.inverse(text[i - 1 : i] if i else "\n", text[i:j], text[j : j + 1] or "\n") if i < j <= hi else None
+                            if got:
+                                found.append((i, j, got[0], got[1]))
+                                end = j
+                                break
+            if not found:  # its clusters each; a no-break space may have become a space
                 i = a
                 while i > at and text[i - 1] >= "\x80":
                     i -= 1

@@ -117,3 +117,18 @@ def test_ways_that_are_ruled_out_would_not_do(restorer):
                     if wrong not in G.WIDE:
                         far = sum(float(s) for s, (a, b) in zip(restorer.model.scores(said)[0], zip(said, said[1:])) if b > "\x7f")
                         assert far <= restorer.reach(run)[G.WRONG.index(wrong), G.RIGHT.index(right)] + 0.01 * len(run) + (12 if said[0] > "\x7f" else 0)
+
+
+def test_next_to_correct_text_of_another_script(restorer):
+    """What is improbable may begin in correct text: on the line before, or on the same one."""
+    bad, good = CLEAN[5].encode("cp932").decode("latin-1"), CLEAN[5]
+    for before, after in ((CLEAN[6] + "\n- ", ""), (CLEAN[6] + "\n- ", "\n" + CLEAN[2]), (CLEAN[6], "\n" + CLEAN[6]), (CLEAN[6], " " + CLEAN[6])):
+        text, passages, lost = restorer.restore(before + bad + after)
+        assert passages and not lost and text == before + good + after, (before, after)
+
+
+def test_garbled_four_times(restorer):
+    bad = CLEAN[0]
+    for _ in range(4):
+        bad = bad.encode().decode("latin-1")
+    assert restorer.restore(bad)[0] == CLEAN[0]
