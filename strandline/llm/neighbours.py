@@ -12,7 +12,11 @@
    retrieved. Codes further apart that meet all the same count up to ``FURTHER``.
 4. The rows of a key stand together, sorted, and are compared in NumPy; a pair counts
    under one key only, which both codes tell, so no pair is shuffled to be made unique.
-   The pairs are ranked again with the real vectors; each vector keeps its k best.
+   The index holds the vectors in bytes as well: a pair that can't reach the least
+   similarity, by the bound of the rounding, ends where it was met, so what is shuffled
+   grows with the similar pairs and not with the met ones. Those left are ranked with the
+   real vectors; each vector keeps its k best. Tables are done one after the other, and a
+   table's shuffle files are removed when its pairs are there.
 5. A key with more than ``HOT`` rows emits no pairs. Such keys that share vectors form
    regions (connected components of the keys), and the vectors of a region are compared
    exactly, by matrix products of blocks that emit k rows for each vector. So near-equal
@@ -36,7 +40,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -118,7 +123,7 @@ def _sample(units: DataFrame) -> np.ndarray:
 
 
 def _codes(units: DataFrame, s: int) -> DataFrame:
-    """(id, w0, w1): codes, two substrings in a word."""
+    """(id, w0, w1, q): codes, two substrings in a word, and the vectors in bytes."""
     import pyarrow as pa
 
     mean, matrix = learn_rotations(_sample(units), TABLES * s)
@@ -129,11 +134,13 @@ def _codes(units: DataFrame, s: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean
-            subs = ((x @ matrix > 0).reshape(b.num_rows, TABLES, s) * weights).sum(axis=2)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(subs[:, 2 * k] | subs[:, 2 * k + 1] << 32) for k in range(words))], ["id", *(f"w{k}" for k in range(words))])
+            u = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            subs = (((u - mean) @ matrix > 0).reshape(b.num_rows, TABLES, s) * weights).sum(axis=2)
+            q = np.rint(u / np.abs(u).max(axis=1, keepdims=True) * 127).astype(np.int8)
+            q = pa.ListArray.from_arrays(pa.array(np.arange(0, q.size + 1, q.shape[1]), pa.int32()), pa.array(q.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(subs[:, 2 * k] | subs[:, 2 * k + 1] << 32) for k in range(words)), q], ["id", *(f"w{k}" for k in range(words)), "q"])
 
-    return units.select("id", "u").mapInArrow(run, "id long, " + ", ".join(f"w{k} long" for k in range(words)))
+    return units.select("id", "u").mapInArrow(run, "id long, " + ", ".join(f"w{k} long" for k in range(words)) + ", q array<tinyint>")
 
 
 def _key(table: int) -> Column:
@@ -156,21 +163,41 @@ def hot_keys(codes: DataFrame, s: int) -> DataFrame:
     around it, so one of these has at least its even share of them.
     """
     own = codes.select(F.explode(F.array(*[_key(t) for t in range(TABLES)])).alias("own")).groupBy("own").agg(F.count(F.lit(1)).alias("n"))
-    own = cut(own)
+    own = cut(own, clean=True)
     maybe = _around(own.where(F.col("n") * (s + 1) > HOT).select("own"), "own", "key", s).select("key").distinct()
     parts = _around(maybe, "key", "own", s)
-    return cut(parts.join(own.hint("merge"), "own").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("key"))
+    return cut(parts.join(own.hint("merge"), "own").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > HOT).select("key"), clean=True)
 
 
-def entries(codes: DataFrame, s: int) -> DataFrame:
-    """(key, id, w0, w1): the index, every code under all keys within one bit."""
-    own = codes.select(F.explode(F.array(*[_key(t) for t in range(TABLES)])).alias("own"), "id", "w0", "w1")
-    return _around(own, "own", "key", s).select("key", "id", "w0", "w1")
+def rows_under(keys: DataFrame, codes: DataFrame, s: int) -> DataFrame:
+    """(key, id) of the index rows under some keys, found from the codes' own substrings."""
+    own = codes.select(F.explode(F.array(*[_key(t) for t in range(TABLES)])).alias("own"), "id")
+    return _around(keys, "key", "own", s).join(own.hint("merge"), "own").select("key", "id")
 
 
-def _met(key: np.ndarray, ids: np.ndarray, w: list[np.ndarray], s: int) -> tuple[np.ndarray, np.ndarray]:
+def entries(codes: DataFrame, s: int, tables: Sequence[int] = range(TABLES)) -> DataFrame:
+    """(key, id, w0, w1 and what else the codes have): the index of some tables, every code
+    under all keys within one bit."""
+    own = codes.select(F.explode(F.array(*[_key(t) for t in tables])).alias("own"), *codes.columns)
+    return _around(own, "own", "key", s).select("key", *codes.columns)
+
+
+def _rounded(q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The unit vectors of rows of bytes, and how far the true ones are from them at most.
+
+    A component is off by half a unit, so a row by sqrt(dims) / 2 units, of which its length
+    has |q|; the rest of the factor is for the change of the length, and for float32.
+    """
+    x = q.astype(np.float32)
+    length = np.linalg.norm(x, axis=1)
+    return x / length[:, None], 0.75 * math.sqrt(q.shape[1]) / length
+
+
+def _met(key: np.ndarray, ids: np.ndarray, w: list[np.ndarray], s: int, q: np.ndarray | None = None, least: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows under the same key (they stand together) that count there: their codes
-    are near enough and this is the first table and the first key in which they meet."""
+    are near enough, this is the first table and the first key in which they meet, and by
+    ``q`` their similarity may be ``least``."""
+    unit, off = _rounded(q) if q is not None else (None, None)
     most = max(GUARANTEED, math.ceil(FURTHER * TABLES * s))
     low, out = np.uint64(0xFFFFFFFF), []
     at, d = np.arange(len(key)), 0
@@ -196,36 +223,46 @@ def _met(key: np.ndarray, ids: np.ndarray, w: list[np.ndarray], s: int) -> tuple
         # of the keys that they share the least of those that differ from both, or the lower substring
         here = np.where(diff == 0, own, np.where(diff == one, np.minimum(own, own ^ diff), np.minimum(own ^ one, own ^ diff ^ one)))
         keep = i[first & (here == k) & (ids[i] != ids[i + d])]
+        if unit is not None and len(keep):
+            keep = keep[np.einsum("ij,ij->i", unit[keep], unit[keep + d]) + off[keep] + off[keep + d] >= least]
         if len(keep):
             out.append((ids[keep], ids[keep + d]))
     return (np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])) if out else (np.zeros(0, np.int64),) * 2
 
 
-def candidate_pairs(index: DataFrame, s: int) -> DataFrame:
-    """(a, b): the pairs that meet under a key of ``index`` (no hot ones), each once."""
+def candidate_pairs(index: DataFrame, s: int, least: float = -1.0) -> DataFrame:
+    """(a, b): the pairs that meet under a key of ``index``, each once; none under a key with
+    more than ``HOT`` rows, and where the index has q none that can't reach ``least``."""
     import pyarrow as pa
 
+    names, hot = ["key", "id", "w0", "w1", *(["q"] if "q" in index.columns else [])], HOT
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[list[np.ndarray]] = []
 
         def found(rows: list[np.ndarray]) -> pa.RecordBatch:
-            a, b = _met(rows[0].astype(np.uint64), rows[1], [r.view(np.uint64) for r in rows[2:]], s)
+            ends = np.flatnonzero(np.append(rows[0][1:] != rows[0][:-1], True)[: len(rows[0])]) + 1
+            size = np.diff(ends, prepend=0)
+            if (size > hot).any():
+                rows = [r[np.repeat(size <= hot, size)] for r in rows]
+            a, b = _met(rows[0].astype(np.uint64), rows[1], [r.view(np.uint64) for r in rows[2:4]], s, *rows[4:], least=least)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            waiting.append([np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns])
+            waiting.append([np.ascontiguousarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns[:4]])
+            waiting[-1] += [c.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) for c in batch.columns[4:]]
             if sum(len(w[0]) for w in waiting) < AT_ONCE:
                 continue
             rows, waiting = [np.concatenate(p) for p in zip(*waiting)], []
             last = int(np.searchsorted(rows[0], rows[0][-1]))  # the last key may go on
             yield found([r[:last] for r in rows])
-            waiting.append([r[last:] for r in rows])
+            waiting.append([r[last : last + hot + 1] for r in rows])  # of more there are no pairs
         if waiting:
             yield found([np.concatenate(p) for p in zip(*waiting)])
 
-    ordered = index.select("key", "id", "w0", "w1").repartition("key").sortWithinPartitions("key")
+    ordered = index.select(*names).repartition("key").sortWithinPartitions("key")
     return ordered.mapInArrow(run, "a long, b long")
 
 
@@ -248,7 +285,7 @@ def _similarities(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
 
 def regions(index: DataFrame) -> DataFrame:
     """(region, id) of the rows under hot keys: keys that share a vector are one region."""
-    of = cut(index.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("id", "keys", F.element_at("keys", 1).alias("key")))  # TABLES * (s + 1) keys at most
+    of = cut(index.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")).select("id", "keys", F.element_at("keys", 1).alias("key")), clean=True)  # TABLES * (s + 1) keys at most
     edges = of.select(F.explode("keys").alias("a"), F.col("key").alias("b")).distinct()
     found = connected_components(edges)
     return of.select("id", "key").join(found.select(F.col("vertex").alias("key"), F.col("component").alias("region")).hint("merge"), "key").select("region", "id")
@@ -270,12 +307,12 @@ def best_in_regions(members: DataFrame, reps: DataFrame, k: int, least: float, d
 
 def _classes(responses: DataFrame, k: int, dims: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The unit vectors, their classes (cls, rep, members), and the representatives (id, u)."""
-    units = cut(_unit(usable_vectors(responses, dims)))
+    units = cut(_unit(usable_vectors(responses, dims)), clean=True)
     # the first k + 1 members of every class are all that anyone can need of it
     nth = F.row_number().over(Window.partitionBy("cls").orderBy("id"))
     firsts = units.select("cls", "id").withColumn("n", nth).where(F.col("n") <= k + 1)
-    classes = cut(firsts.groupBy("cls").agg(F.array_sort(F.collect_list("id")).alias("members")).select("cls", F.element_at("members", 1).alias("rep"), "members"))
-    reps = cut(units.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select("id", "u"))
+    classes = cut(firsts.groupBy("cls").agg(F.array_sort(F.collect_list("id")).alias("members")).select("cls", F.element_at("members", 1).alias("rep"), "members"), clean=True)
+    reps = cut(units.join(classes.select(F.col("rep").alias("id")).hint("merge"), "id", "left_semi").select("id", "u"), clean=True)
     return units, classes, reps
 
 
@@ -301,14 +338,13 @@ def nearest(responses: DataFrame, k: int = K, least: float = LEAST_SIMILARITY, d
     """
     units, classes, reps = _classes(responses, k, dims)
     s = substring_bits(reps.count())
-    codes = cut(_codes(reps, s))
-    index, hot = entries(codes, s), hot_keys(codes, s)
-    none = hot.isEmpty()
-    light = index if none else index.join(hot.hint("merge"), "key", "left_anti")
-    near = cut(_similarities(candidate_pairs(light, s), reps, least))
+    codes = cut(_codes(reps, s), clean=True)
+    met = [cut(candidate_pairs(entries(codes, s, [t]), s, least), clean=True) for t in range(TABLES)]
+    near = cut(_similarities(reduce(DataFrame.unionByName, met), reps, least), clean=True)
     both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    if not none:
-        dense = cut(regions(index.join(hot.hint("merge"), "key", "left_semi").select("key", "id")))
+    hot = hot_keys(codes, s)
+    if not hot.isEmpty():
+        dense = cut(regions(rows_under(hot, codes, s)), clean=True)
         both = both.unionByName(best_in_regions(dense, reps, k, least, dims)).groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
     best = both.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))).where(F.col("n") <= k)
     return _expanded(units, classes, best, k)
@@ -417,7 +453,7 @@ def nearest_any(responses: DataFrame, k: int = K, dims: int = 64) -> DataFrame:
     The same rules as in ``nearest``.
     """
     units, classes, reps = _classes(responses, k, dims)
-    return _expanded(units, classes, cut(best_in_cells(reps, k, dims)), k)
+    return _expanded(units, classes, cut(best_in_cells(reps, k, dims), clean=True), k)
 
 
 def similar_pairs(responses: DataFrame, k: int = K, least: float = LEAST_SIMILARITY, dims: int = 64) -> DataFrame:

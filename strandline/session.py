@@ -47,13 +47,27 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Removes the shuffle files of a query as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, clean: bool = False) -> DataFrame:
     """``df`` computed once, its lineage cut through the shared folder.
 
-    A reliable checkpoint: what an executor wrote outlives it.
+    A reliable checkpoint: what an executor wrote outlives it. With ``clean`` the shuffle
+    files behind it are removed at once, not when the driver collects its garbage; then
+    ``df`` itself is not to be computed again.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    if not clean:
+        return df.checkpoint(eager=True)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # of a frame of its own: the setting is read when a frame is made
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        spark.conf.set(CLEANUP, was)

@@ -142,3 +142,41 @@ def test_near_equal_vectors_in_great_number(spark, monkeypatch):
     assert {r.key for r in N.hot_keys(codes, 16).collect()} == {k for k, n in counts.items() if n > 60} != set()
     got = {tuple(r) for r in N.similar_pairs(df).collect()}
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
+
+
+def test_pairs_that_meet_in_vain_are_not_shuffled(spark):
+    rnd = np.random.default_rng(12)
+    vecs = rnd.normal(size=64) * 1.6 + rnd.normal(size=(500, 64))  # all of one topic, at about 0.7
+    vecs[250:] = vecs[:250] + rnd.normal(size=(250, 64)) * np.linspace(0.05, 1.0, 250)[:, None]
+    df = spark.createDataFrame([(i, i, None, [v.tolist()], 0, "") for i, v in enumerate(vecs)], SCHEMA)
+    x = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    s = x @ x.T
+    codes = N._codes(N._classes(df, 5, 64)[2], 16).selectExpr("id", "0L AS w0", "0L AS w1", "q")  # all meet
+    index = N.entries(codes, 16)
+    all_ = {tuple(r) for r in N.candidate_pairs(index.drop("q"), 16).collect()}
+    left = {tuple(r) for r in N.candidate_pairs(index, 16, 0.9).collect()}
+    near = {p for p in all_ if s[p] >= 0.9}
+    assert near <= left <= all_ and len(near) > 50 and len(all_) == 500 * 499 // 2
+    assert all(s[p] > 0.8 for p in left) and len(left) < len(all_) / 4
+
+
+def test_bytes_are_as_near_as_their_bound():
+    rnd = np.random.default_rng(13)
+    for x in (rnd.normal(size=(2000, 64)), rnd.normal(size=(2000, 64)) ** 9, np.eye(64), rnd.normal(size=(50, 3))):
+        u = x / np.linalg.norm(x, axis=1, keepdims=True)
+        unit, off = N._rounded(np.rint(u / np.abs(u).max(axis=1, keepdims=True) * 127).astype(np.int8))
+        assert (np.linalg.norm(u - unit, axis=1) <= off).all()
+
+
+def test_a_clean_cut_leaves_no_shuffle_files(spark):
+    from strandline.session import CLEANUP, cut
+
+    def files():
+        infos = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return sum("shuffle" in infos.apply(i).getName() for i in range(infos.size()))
+
+    before = files()
+    got = cut(spark.range(1000).repartition(3, "id").groupBy("id").count(), clean=True)
+    assert files() == before and got.count() == 1000 and spark.conf.get(CLEANUP) == "false"
+    kept = cut(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    assert files() > before and kept.count() == 1000
