@@ -24,6 +24,8 @@ from strandline.functions.text import sanitise_query
 # --- fixed values: Okapi BM25 as published ------------------------------------------------
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 SNIPPET_TOKENS = 24
+#: Words whose stems a worker keeps, at most.
+KEPT_STEMS = 1 << 18
 # --------------------------------------------------------------------------------------------
 TOKEN = r"[\p{L}\p{N}\p{Co}_]+"
 
@@ -201,6 +203,8 @@ def _stemmed(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, str] = {}
         for b in batches:
+            if len(memo) > KEPT_STEMS:
+                memo.clear()
             w = b.column(2)
             words = w.values.field("word").dictionary_encode()
             stems = pa.array([memo.get(x) or memo.setdefault(x, porter(x)) for x in words.dictionary.to_pylist()], pa.string())
@@ -261,26 +265,16 @@ def top(scored: DataFrame, key: str = "chunk_id", limit: int = 10) -> DataFrame:
 
 
 # -- inverted index ------------------------------------------------------------------------
-def _stem_of(word: Column | str) -> Column:
-    @F.pandas_udf("string")
-    def stem(s: pd.Series) -> pd.Series:
-        return s.map(porter)
-
-    return stem(word)
-
-
 def build_postings(docs: DataFrame, key: str = "chunk_id", text: str = "chunk_text", stemmed: bool = True) -> DataFrame:
-    """(term, doc, tf, positions, n_tokens), for writing sorted by term. Each different word
-    is stemmed once; the join back is as large as the vocabulary."""
-    words = docs.select(F.col(key).alias("doc"), tokens(text).alias("w"))
-    at = words.select("doc", F.size("w").alias("n_tokens"), F.posexplode("w").alias("pos", "term"))
+    """(term, doc, tf, positions, n_tokens), for writing sorted by term. Words are stemmed
+    where they stand, in their document's row, so the vocabulary is neither joined nor sent
+    anywhere."""
+    words = docs.select(F.col(key).alias("doc"), tokens(text).alias("w")).select("doc", F.size("w").alias("n_tokens"), "w")
     if stemmed:
-        # counted by word and document first, so that a frequent word is no hot key of the join
-        by_word = at.groupBy("term", "doc", "n_tokens").agg(F.collect_list("pos").alias("p"))
-        stems = by_word.select("term").distinct().select(F.col("term").alias("word"), _stem_of("term").alias("stem"))
-        stemmed_words = by_word.join(stems, F.col("term") == F.col("word")).groupBy(F.col("stem").alias("term"), "doc", "n_tokens")
-        out = stemmed_words.agg(F.array_sort(F.flatten(F.collect_list("p"))).alias("positions"))
-        return out.select("term", "doc", "n_tokens", F.size("positions").cast("long").alias("tf"), "positions")
+        said = _stemmed(words.withColumn("w", F.transform("w", lambda w, i: F.struct(i.alias("pos"), w.alias("word")))))
+        at = said.select("doc", "n_tokens", F.explode("w").alias("x")).select("doc", "n_tokens", "x.pos", F.col("x.word").alias("term"))
+    else:
+        at = words.select("doc", "n_tokens", F.posexplode("w").alias("pos", "term"))
     return at.groupBy("term", "doc", "n_tokens").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
 
 

@@ -273,6 +273,16 @@ def test_search_and_index_agree(spark, tmp_path, q, want):
         assert {*idx} == want and all(abs(idx[k] - got[k]) < 1e-9 for k in want)
 
 
+def test_postings_send_no_vocabulary_around(spark):
+    docs = spark.createDataFrame([*DOCS, (8, "retry Retried, retries retrial")], "chunk_id long, chunk_text string")
+    p = fulltext.build_postings(docs)
+    plan = p._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
+    got = {(r.term, r.doc): (r.tf, r.positions, r.n_tokens) for r in p.collect()}
+    assert got["retri", 8] == (3, [0, 1, 2], 4) and got["retri", 1] == (1, [2], 5) and got["the", 1] == (2, [0, 3], 5)
+    assert {d for _, d in got} == {1, 2, 3, 4, 8} and p.dtypes == [("term", "string"), ("doc", "bigint"), ("n_tokens", "int"), ("tf", "bigint"), ("positions", "array<int>")]
+
+
 def test_index_segments(spark, tmp_path):
     docs = spark.createDataFrame(DOCS, "chunk_id long, chunk_text string")
     index = fulltext.Index.build(docs.where("chunk_id < 3"), str(tmp_path / "p"), partitions=2)
